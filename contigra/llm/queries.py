@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets
+from . import mixing, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +49,20 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_secrets": op2_secrets, "op4_mix": op4_mix, "op9_pack": op9_pack}
 ORACLE_SQL = {"op4_mix": OP4_SQL}
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("n_segments")
+
+
+OP7_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, strlen(html) as n, sha1(html) as h, max(page_id) over (partition by html) as top from p)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast(('0x' || substr(h, 1 + 5 * (i // 4), 5)) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id = top then null else top end as refers_to
+from h
+"""
+QUERIES["op7_warc"] = op7_warc
+ORACLE_SQL["op7_warc"] = OP7_SQL
