@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets, warc
+from . import langid, media, mixing, packing, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +66,14 @@ from h
 """
 QUERIES["op7_warc"] = op7_warc
 ORACLE_SQL["op7_warc"] = OP7_SQL
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_media": op5_media, "op6_langid": op6_langid}
