@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, secrets, warc
+from . import langid, media, mixing, packing, secrets, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +77,20 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_media": op5_media, "op6_langid": op6_langid}
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+QUERIES["op1_topk"] = op1_topk
+ORACLE_SQL["op1_topk"] = OP1_SQL
