@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, secrets, topk, warc
+from . import langid, media, mixing, packing, secrets, substrings, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +94,22 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 QUERIES["op1_topk"] = op1_topk
 ORACLE_SQL["op1_topk"] = OP1_SQL
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES["op3_substrings"] = op3_substrings
+
+OP3_SQL = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+n as (select r, i, array_to_string(w[i:i + 34], ' ') as k from (select r, w, unnest(range(1, len(w) - 33)) as i from d)),
+m as (select k from n group by k having count(*) > 1),
+p as (select distinct r, i + j as p from n semi join m using (k), range(35) t(j)),
+x as (select r, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+y as (select r, string_agg(word, ' ' order by p) as kept, count(*) as c from x anti join p using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(c, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join y using (r)
+"""
+ORACLE_SQL["op3_substrings"] = OP3_SQL
