@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,24 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
+class Recent(dict):
+    """What `make` gives for a string, kept for the latest ones: at least limit, at most twice as many."""
+
+    def __init__(self, limit: int, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.limit, self.make, self.older = limit, make, {}
+
+    def __missing__(self, s: str) -> bytes:
+        if (got := self.older.get(s)) is None:
+            got = self.make(s)
+        if len(s) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[s] = got
+        return got
+
+
 class Vocabulary:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to the library's encode(add_special_tokens=False).
 
@@ -43,39 +62,33 @@ class Vocabulary:
 
     CUT = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.model, self.find, self.table = self.tokenizer.model, regex.compile(PRETOKEN).findall, byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cuts: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.cuts, self.parts = Recent(limit, self.cut), Recent(limit, self.part)
 
     def part(self, s: str) -> bytes:
-        if (got := self.parts.get(s)) is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
-            got = self.parts[s] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        return got
+        tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def cut(self, s: str) -> bytes:
-        if (got := self.cuts.get(s)) is None:
-            if len(self.cuts) >= self.limit:
-                self.cuts.clear()
-            got = b"".join(map(self.part, self.find(s)))
-            if len(s) <= 64:
-                self.cuts[s] = got
-        return got
+        return b"".join([self.parts[x] for x in self.find(s)])
 
     def ids(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = self.CUT.split(text)
-        known, cut = self.cuts.get, self.cut
-        return b"".join([cut(first), *[known(s) or cut(s) for s in map(" ".__add__, rest)]])
+        return b"".join([self.cut(first), *map(self.cuts.__getitem__, map(" ".__add__, rest))])
+
+
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """One for each worker process, which keeps what it has met from task to task."""
+    return Vocabulary(path)
 
 
 def balanced(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -110,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing: int =
     blocks = max(1, -(-docs.count() // block_rows))
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = Vocabulary(vocabulary), closing.to_bytes(4, "little")
+        words, end = vocabulary_of(vocabulary), closing.to_bytes(4, "little")
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
