@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, secrets, substrings, topk, warc
+from . import langid, media, mixing, neardup, packing, quality, secrets, substrings, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,3 +113,32 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(c, 0) a
 from d left join y using (r)
 """
 ORACLE_SQL["op3_substrings"] = OP3_SQL
+
+
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.summary(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_neardup"] = op8_neardup
+
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as k from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, least(a, min(b)) as m from r group by a)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(m, d.doc_id) as component_id, d.doc_id = coalesce(m, d.doc_id) as kept
+from d left join n using (doc_id) left join c on c.a = d.doc_id
+"""
+ORACLE_SQL["op8_neardup"] = OP8_SQL
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_quality"] = op10_quality

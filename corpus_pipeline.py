@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contigra.llm import mixing, packing
+from contigra.llm import langid, mixing, neardup, packing, secrets
 from contigra.llm.common import new_path
 
+#: A prediction under this probability rejects a document: less sure than a guess between two languages.
+LEAST_SCORE = 0.4
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows; those without letters, or of which it isn't sure, go."""
+    found = langid.predict(docs, langid.fit(docs))
+    return found.where((found.lang_pred != "und") & (found.score >= LEAST_SCORE)).select("row.*")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.without_copies(docs)
+
+
+def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    return secrets.redacted(docs)
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the sources' targets take them."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing sources to target weights", mix), ("packing", pack)]
+STAGES = [
+    ("language identification", identify),
+    ("near-duplicates", deduplicate),
+    ("secret scan", scan),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language models, sketches and a tokenizer's ids are beyond SQL; tests hold each stage against brute force.
+#: A trained network, sketches and a tokenizer's ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
