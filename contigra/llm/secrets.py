@@ -80,18 +80,20 @@ def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
     most = math.floor(w * (math.log2(w) - c.bits) * _UNIT)
     text = F.lower(candidate) if c.lower else candidate
     codes = F.transform(F.slice(F.split(text, ""), F.lit(1), F.length(text)), lambda x: F.instr(F.lit(c.letters), x) - 1)
-    steps = F.transform(codes, lambda x, i: F.struct(i.alias("i"), x.alias("into"), F.when(i >= w, F.get(codes, i - w)).otherwise(-1).alias("gone")))
-    start = F.struct(F.array_repeat(F.lit(0), len(c.letters)).alias("counts"), F.lit(0).alias("sum"), F.array().cast(_RUNS).alias("runs"))
+    # what a step takes in stands beside what it lets go, w characters earlier
+    gone = F.slice(F.concat(F.array_repeat(F.lit(-1), w), codes), F.lit(1), F.length(text))
+    steps = F.zip_with(codes, gone, lambda x, y: F.struct(x.alias("into"), y.alias("gone")))
+    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(c.letters)).alias("counts"), F.lit(0).alias("sum"), F.array().cast(_RUNS).alias("runs"))
 
     def step(s: Column, x: Column) -> Column:
         into, gone, counts = x["into"], x["gone"], s["counts"]
         was, left = F.get(counts, into), F.coalesce(F.get(counts, gone), F.lit(1))
         change = F.get(logs, was + 1) - F.get(logs, was) + F.get(logs, left - 1) - F.get(logs, left)
         moved = F.transform(counts, lambda v, k: v + (k == into).cast("int") - (k == gone).cast("int"))
-        total, begin, end = F.when(into == gone, s["sum"]).otherwise(s["sum"] + change).cast("int"), x["i"] - (w - 1), x["i"] + 1
+        total, begin, end = F.when(into == gone, s["sum"]).otherwise(s["sum"] + change).cast("int"), s["i"] - (w - 1), s["i"] + 1
         last, n = F.try_element_at(s["runs"], F.lit(-1)), F.size(s["runs"])
         joined = F.when(last["e"] >= begin, F.concat(F.slice(s["runs"], F.lit(1), n - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e"))))).otherwise(F.concat(s["runs"], F.array(F.struct(begin.alias("s"), end.alias("e")))))
-        return F.struct(F.when(into == gone, counts).otherwise(moved).alias("counts"), total.alias("sum"), F.when((begin >= 0) & (total <= most), joined).otherwise(s["runs"]).alias("runs"))
+        return F.struct(end.alias("i"), F.when(into == gone, counts).otherwise(moved).alias("counts"), total.alias("sum"), F.when((begin >= 0) & (total <= most), joined).otherwise(s["runs"]).alias("runs"))
 
     return F.aggregate(steps, start, step, lambda s: s["runs"])
 
