@@ -1012,3 +1012,140 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     sets = ("marker,nn", "aggregated,calibrated_nn,marker", "nn", "calibrated_aggregated,aggregated")
     return v.spark.createDataFrame([(s, select.score_source(s.split(","))) for s in sets], "available string, chosen string")
+
+
+# ---- files there and back -------------------------------------------------------------------------------------------
+
+
+def _folder(v: Views, name: str) -> str:
+    from ..storage import new_path
+
+    return new_path(v.spark, name)
+
+
+FASTA_SQL = with_views("select concat('s', contig) as seq_name, md5(seq) as seq_md5, cast(length(seq) as int) as length from contigs where seq <> ''", "contigs")
+
+
+def _records(v: Views) -> DataFrame:
+    return v.contigs.select(F.concat(F.lit("s"), F.col("contig").cast("string"), F.lit(" from a text")).alias("header"), F.col("contig").alias("at"), "seq")
+
+
+for _name, _codec, _content in (("src_fasta", "none", False), ("snk_fasta", "gzip", False), ("src_codec", "bzip2", True)):
+
+    @query(_name, FASTA_SQL)
+    def _(v: Views, codec: str = _codec, by_content: bool = _content) -> DataFrame:
+        from ..sinks import files
+        from ..sources import fasta
+
+        files.fasta(_records(v), path := _folder(v, "fasta"), codec)
+        return fasta.read(v.spark, path, by_content=by_content).select("seq_name", F.md5("seq").alias("seq_md5"), F.length("seq").alias("length"))
+
+
+@query("snk_filter_fasta", with_views("select concat('s', contig) as seq_name, md5(seq) as seq_md5 from contigs where seq <> '' and contig in (select contig from genes)", "contigs", "genes"))
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    seqs = _records(v).where("seq <> ''").select(S.accession(F.col("header")).alias("seq_name"), "header", "seq")
+    names = v.genes.select(F.concat(F.lit("s"), F.col("contig").cast("string")).alias("seq_name"))
+    return files.filtered(seqs, names).select("seq_name", F.md5("seq").alias("seq_md5"))
+
+
+def gene_table(v: Views) -> DataFrame:
+    """The genes table's twenty columns."""
+    g = annotate.gene_annotation(v.genes.select("contig", "gene_num", "gene_start", "gene_end", "gene_len", "strand", "rbs"), hits_of(v), v.markers, v.taxa, ["contig", "gene_num"])
+    s = lambda c: F.col(c).cast("string")
+    return g.select(
+        F.concat(s("contig"), F.lit("_"), s("gene_num")).alias("gene"), F.col("gene_start").cast("int").alias("start"), F.col("gene_end").cast("int").alias("end"), F.col("gene_len").alias("length"), "strand",
+        (F.col("gene_len") % 8 / 8).alias("gc_content"), F.lit(11).alias("genetic_code"), F.col("rbs").alias("rbs_motif"), s("marker_id").alias("marker"), "evalue", "bitscore", "uscg", "plasmid_hallmark", "virus_hallmark",
+        F.col("taxid").cast("int").alias("taxid"), "taxname", F.col("conjscan").alias("annotation_conjscan"), F.col("amr").alias("annotation_amr"), F.lit(None).cast("string").alias("annotation_accessions"), F.lit(None).cast("string").alias("annotation_description"),
+    )
+
+
+for _name in ("src_tsv", "snk_genes"):
+
+    @query(_name, gm_sql("select contig || '_' || gene_num as gene, cast(gene_start as int) as start, cast(gene_end as int) as end, gc, marker, evalue, taxid, taxname from (select gm.*, cast(gene_len % 8 as double) / 8 as gc, case when gm.cls is not null then cast(marker_id as varchar) end as marker, case when gm.cls is not null then 1.0::double / (bitscore * 16) end as evalue, case when gm.taxid <> 1 then t.name end as taxname from gm left join taxa t on gm.taxid = t.taxid) q", "taxa"))
+    def _(v: Views) -> DataFrame:
+        from ..sinks import files
+
+        files.tsv(gene_table(v), path := _folder(v, "genes"), places={"gc_content": 3})
+        out = tables.tsv(v.spark, path, tables.GENES)
+        return out.select("gene", "start", "end", F.col("gc_content").alias("gc"), "marker", "evalue", "taxid", "taxname")
+
+
+def there_and_back(v: Views, df: DataFrame, schema, places=6) -> DataFrame:  # noqa: ANN001
+    from ..sinks import files
+
+    files.tsv(df, path := _folder(v, "table"), places=places)
+    return tables.tsv(v.spark, path, schema)
+
+
+@query("snk_scores", br_sql("select cast(contig as varchar) as seq_name, round(m0, 4) as chromosome_score from br"))
+def _(v: Views) -> DataFrame:
+    rows = branches_of(v).select(F.col("contig").cast("string").alias("seq_name"), *[F.round(f"m{i}", 4).alias(c) for i, c in enumerate(models.SCORES)])
+    return there_and_back(v, rows, tables.SCORES, 4).select("seq_name", "chromosome_score")
+
+
+@query("snk_provirus", ORACLE_SQL["flt_provirus_score"].replace("select contig, p_start, p_end from called", "select contig || '|provirus_' || p_start || '_' || p_end as seq_name, cast(contig as varchar) as source_seq, cast(p_start as int) as start, cast(p_end as int) as end, at_edge as in_seq_edge from called"))
+def _(v: Views) -> DataFrame:
+    name = N.provirus_name(F.col("contig"), F.col("p_start"), F.col("p_end"))
+    rows = calls_of(v).select(name.alias("seq_name"), F.col("contig").cast("string").alias("source_seq"), F.col("p_start").alias("start"), F.col("p_end").alias("end"), (F.col("p_end") - F.col("p_start") + 1).alias("length"), "n_genes", "v_vs_c_score", "in_seq_edge", "integrases")
+    return there_and_back(v, rows, tables.PROVIRUS, 4).select("seq_name", "source_seq", "start", "end", "in_seq_edge")
+
+
+@query("snk_taxonomy", ORACLE_SQL["taxonomy_assignment"].replace("round(agreement, 6) as agreement, ", "").replace("select contig, n as n_genes_with_taxonomy", "select cast(contig as varchar) as seq_name, cast(n as int) as n_genes_with_taxonomy"))
+def _(v: Views) -> DataFrame:
+    rows = taxonomy.assigned(taxed(v), v.taxa).select(F.col("contig").cast("string").alias("seq_name"), "n_genes_with_taxonomy", "agreement", "taxid", "lineage")
+    return there_and_back(v, rows, tables.TAXONOMY, 4).drop("agreement")
+
+
+@query("snk_summary", ORACLE_SQL["virus_report"])
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    files.parquet(virus_rows(v), path := _folder(v, "summary"))
+    return v.spark.read.parquet(path)
+
+
+@query("snk_features", FEATURES_SQL)
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    files.parquet(QUERIES["contig_features"](v.spark, v.sf_dir), path := _folder(v, "features"))
+    return v.spark.read.parquet(path)
+
+
+@query("snk_compositions", ORACLE_SQL["agg_composition"])
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    files.parquet(QUERIES["agg_composition"](v.spark, v.sf_dir), path := _folder(v, "compositions"))
+    return v.spark.read.parquet(path)
+
+
+@query("snk_manifest", "select 'annotate' as module, 'x.fna' as input, true as same, false as other")
+def _(v: Views) -> DataFrame:
+    import json
+
+    from ..sinks import files
+
+    path = _folder(v, "manifest") + ".json"
+    files.write_text(v.spark, path, files.manifest("annotate", "x.fna", "d1", {"a": 1}))
+    found = files.read_text(v.spark, path)
+    told = json.loads(found)
+    same, other = (files.up_to_date(found, files.manifest("annotate", "x.fna", "d1", {"a": a})) for a in (1, 2))
+    return v.spark.createDataFrame([(told["module"], told["input"], same, other)], "module string, input string, same boolean, other boolean")
+
+
+@query("src_db_version", "select 1.9::double as version")
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    files.write_text(v.spark, path := _folder(v, "version") + ".txt", "1.9\n")
+    return v.spark.createDataFrame([(tables.version(v.spark, path),)], "version double")
+
+
+@query("arr_one_hot", with_views(f"{TOKENS}\nselect contig, n, cast(len(list_filter(t, lambda x: x > 0)) as int) as set_rows, cast(len(list_distinct(t)) as int) as columns_used from tok", "contigs"))
+def _(v: Views) -> DataFrame:
+    # one-hot rows are never made: a token is the row of a kernel; what would be set is counted
+    rows = tokens.kmer_tokens(windows_of(v).where(F.length("w") >= 4), "w", "t")
+    return rows.select("contig", "n", F.size(F.filter("t", lambda x: x > 0)).alias("set_rows"), F.size(F.array_distinct("t")).alias("columns_used"))
