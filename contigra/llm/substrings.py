@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, encoded, gram_hashes, slices
+from .common import encoded, gram_hashes, mixed, slices
 
 _SENT = "bucket long, blob binary, doc_id long, sha long, places binary"
 _STRETCH = 1 << 18
@@ -47,28 +48,56 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each run of consecutive windows with one minimiser."""
-    if len(hashes) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+def powers(n: int, base: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2^64."""
+    out = np.full(n, base & ((1 << 64) - 1), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash for each span of word hashes, equal for equal words wherever they stand."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes), _BASE))])
+    return mixed((sums[starts + lengths] - sums[starts]) * powers(len(hashes) + 1, _BACK)[starts])
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and minimiser of each run of consecutive windows with one minimiser, in stretches of
+    words that stand one after the other; sizes: their numbers of words, each a window's at least."""
     least = sliding_least(gram_hashes(hashes, gram), window - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.diff(np.append(first, len(least))), least[first]
-
-
-def packed(ids: list[np.ndarray], words: list[bytes], twice: list[bool], documents: list[tuple[int | None, int]], owner: list[int], places: list[int]) -> bytes:
-    """Super-k-mers with their words as one compressed string. ids: each one's words, as places in `words`."""
-    lengths, every = np.array([len(x) for x in ids], "<u4"), np.concatenate(ids)
-    used = np.zeros(len(words), bool)
-    used[every] = True
-    local = (np.cumsum(used) - 1).astype("<u4")[every]
-    wide = int(used.sum()) > 1 << 16
-    dictionary = b" ".join([words[i] for i in np.flatnonzero(used).tolist()])
-    own = sorted(set(owner))
-    place = {o: i for i, o in enumerate(own)}
-    known = np.array([0 if documents[o][0] is None else documents[o][0] for o in own], "<i8").tobytes() + np.array([documents[o][0] is None for o in own], "u1").tobytes() + np.array([documents[o][1] for o in own], "<i8").tobytes()
-    parts = [dictionary, lengths.tobytes(), local.astype("<u4" if wide else "<u2").tobytes(), np.array(twice, "u1").tobytes(), known, np.array([place[o] for o in owner], "<u4").tobytes(), np.array(places, "<u8").tobytes()]
-    head = np.array([int(wide), *map(len, parts)], "<u8").tobytes()
+    ends = np.cumsum(sizes)
+    own = spread(ends - sizes, sizes - window + 1)  # windows that don't reach over an end
+    value = least[own]
+    new = np.ones(len(own), bool)
+    new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1] + 1)
+    first = np.flatnonzero(new)
+    return own[first], np.diff(np.append(first, len(own))), value[first]
+
+
+def packed(ids: np.ndarray, lengths: np.ndarray, words: list[bytes], twice: np.ndarray, documents: list[tuple[int | None, int]], owner: np.ndarray, places: np.ndarray) -> bytes:
+    """Super-k-mers with their words as one compressed string. ids: all their words, as places in `words`.
+
+    The dictionary has the frequent words first, and the ids' low and high bytes stand apart, as they compress better."""
+    counts = np.bincount(ids, minlength=len(words))
+    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    local = np.empty(len(words), "<u4")
+    local[order] = np.arange(len(order), dtype="<u4")
+    planes = local[ids].view(np.uint8).reshape(-1, 4)[:, : 2 if len(order) <= 1 << 16 else 4].T
+    own, place = np.unique(owner, return_inverse=True)
+    of = [documents[o] for o in own.tolist()]
+    known = np.array([0 if d is None else d for d, _ in of], "<i8").tobytes() + np.array([d is None for d, _ in of], "u1").tobytes() + np.array([s for _, s in of], "<i8").tobytes()
+    parts = [b" ".join([words[i] for i in order.tolist()]), lengths.astype("<u4").tobytes(), planes.tobytes(), twice.astype("u1").tobytes(), known, place.astype("<u4").tobytes(), places.astype("<u8").tobytes()]
+    head = np.array([len(planes), *map(len, parts)], "<u8").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
 
 
@@ -82,45 +111,40 @@ def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarr
         at += n
     n = len(cut[4]) // 17
     docs, none, sha = np.frombuffer(cut[4], "<i8", n).tolist(), np.frombuffer(cut[4], "u1", n, 8 * n).tolist(), np.frombuffer(cut[4], "<i8", n, 9 * n).tolist()
-    return cut[0].split(b" "), np.frombuffer(cut[1], "<u4").astype(np.int64), np.frombuffer(cut[2], "<u4" if wide else "<u2"), np.frombuffer(cut[3], "u1"), [(None if x else d, s) for d, x, s in zip(docs, none, sha, strict=True)], np.frombuffer(cut[5], "<u4"), np.frombuffer(cut[6], "<u8").astype(np.int64)
+    planes = np.frombuffer(cut[2], "u1").reshape(wide, -1)
+    ids = np.ascontiguousarray(planes.T).view("<u2" if wide == 2 else "<u4").ravel()
+    return cut[0].split(b" "), np.frombuffer(cut[1], "<u4").astype(np.int64), ids, np.frombuffer(cut[3], "u1"), [(None if x else d, s) for d, x, s in zip(docs, none, sha, strict=True)], np.frombuffer(cut[5], "<u4"), np.frombuffer(cut[6], "<u8").astype(np.int64)
 
 
 def repeated_windows(ids: np.ndarray, lengths: np.ndarray, twice: np.ndarray, window: int) -> np.ndarray:
     """Of the windows of super-k-mers that lie one after the other in ids, in order: whether its words come twice or more."""
-    ends = np.cumsum(lengths)
-    n = len(ids) - window + 1
-    valid = np.ones(max(n, 0), bool)
-    for i in range(1, window):  # windows that would reach over an end
-        at = ends[:-1] - i
-        valid[at[(at >= 0) & (at < n)]] = False
-    start = np.flatnonzero(valid)
+    start = spread(np.cumsum(lengths) - lengths, lengths - window + 1)
     many = np.repeat(twice.astype(bool), lengths - window + 1)
-    key = gram_hashes(np.bitwise_xor(ids.astype(np.uint64), np.uint64(0x5DEECE66D)) * np.uint64(0x9E3779B97F4A7C15), window)[start]
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    if same.any():
-        a, b = start[order[1:][same]], start[order[:-1][same]]
-        if not all((ids[a + i] == ids[b + i]).all() for i in range(window)):  # two contents of one hash: by content alone
-            content = np.lib.stride_tricks.sliding_window_view(ids, window)[start]
-            _, kind = np.unique(content, axis=0, return_inverse=True)
-            kind = kind.ravel()
-            total = np.bincount(kind, weights=1 + many)
-            return total[kind] >= 2
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.empty(0, np.int64)
-    total = np.bincount(group, weights=1 + many[order]) if len(order) else np.empty(0)
-    out = np.empty(len(order), bool)
-    out[order] = total[group] >= 2
+    key = span_hashes(mixed(ids.astype(np.uint64) + np.uint64(1)), start, np.full(len(start), window))
+    order = np.argsort(key)
+    ranked = key[order]
+    same = ranked[1:] == ranked[:-1]
+    del key, ranked
+    a, b = start[order[1:][same]], start[order[:-1][same]]
+    if not all((ids[a + i] == ids[b + i]).all() for i in range(window)):  # two contents of one hash: by content alone
+        content = np.lib.stride_tricks.sliding_window_view(ids, window)[start]
+        kind = np.unique(content, axis=0, return_inverse=True)[1].ravel()
+        return np.bincount(kind, weights=1 + many)[kind] >= 2
+    out = many.copy()
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    # one that a task has met twice stands for itself; equal ones share its mark
     return out
 
 
-def _runs(flags: np.ndarray) -> np.ndarray:
-    """First place and number of each run of flags."""
-    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    first = np.flatnonzero(edge == 1)
-    return np.stack([first, np.flatnonzero(edge == -1) - first], axis=1)
+class Places(dict):
+    """A number for each word, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int = 8 << 20, run_bytes: int = 8 << 20) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int = 12 << 20, run_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, sha (a 64-bit hash of the text) and places: packed (first window, windows) of windows that start anywhere else
     too, in many rows a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sha"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -128,34 +152,53 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
     buckets = max(1, -(-size // bucket_bytes))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-
         def run(texts: list[tuple[int | None, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            index: dict[bytes, int] = {}
-            documents, kept, found = [], [], defaultdict(list)
+            index, documents, parts, owners, offsets = Places(), [], [], [], []
             for doc, sha, text in texts:
                 words = text.split()
-                if len(words) < window:
+                n = len(words)
+                if n < window:
                     continue
-                owner = len(documents)
+                ids = np.fromiter(map(index.__getitem__, words), np.int32, n)
+                del words
+                for at in range(0, n - window + 1, _STRETCH):
+                    parts.append(ids[at : at + _STRETCH + window - 1])
+                    owners.append(len(documents))
+                    offsets.append(at)
                 documents.append((doc, sha))
-                for at in range(0, len(words) - window + 1, _STRETCH):
-                    part = words[at : at + _STRETCH + window - 1]
-                    ids = np.fromiter([index.setdefault(w, len(index)) for w in part], np.int32, len(part))
-                    first, count, least = super_kmers(known.of(part), window, gram)
-                    kept.append(ids)
-                    for f, c, m in zip(first.tolist(), count.tolist(), (least % np.uint64(buckets)).tolist(), strict=True):
-                        found[ids[f : f + c + window - 1].tobytes(), m].append((len(kept) - 1, owner, at + f, f, c))
-            words = list(index)
-            by: dict[int, list] = defaultdict(list)
+            if not parts:
+                return
+            words, every, sizes = list(index), np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            del parts, index
+            hashes = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words), np.uint64, len(words))[every]
+            first, count, least = super_kmers(hashes, sizes, window, gram)
+            length, begins = count + window - 1, np.cumsum(sizes) - sizes
+            stretch = np.searchsorted(begins, first, "right") - 1
+            owner, place = np.array(owners)[stretch], np.array(offsets)[stretch] + first - begins[stretch]
+            content = span_hashes(hashes, first, length)
+            del hashes
+            # those that this run has more than once, by content: one goes on
+            order = np.argsort(content, kind="stable")
+            equal = np.flatnonzero(content[order][1:] == content[order][:-1])
+            doubtful = np.unique(np.concatenate([order[equal], order[equal + 1]]))
+            twice, goes, groups = np.zeros(len(first), bool), np.ones(len(first), bool), {}
+            for i in doubtful.tolist():
+                groups.setdefault(every[first[i] : first[i] + length[i]].tobytes(), []).append(i)
             told: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for (_, bucket), places in found.items():
-                if len(places) > 1:
-                    for _, owner, at, _, c in places:
-                        told[owner].append((at, c))
-                by[bucket].append((len(places) > 1, places[0]))
-            out = [(b, packed([kept[k][f : f + c + window - 1] for _, (k, _, _, f, c) in some], words, [t for t, _ in some], documents, [o for _, (_, o, _, _, _) in some], [at for _, (_, _, at, _, _) in some]), None, None, None) for b, some in by.items()]
-            out += [(owner % buckets, None, *documents[owner], np.array(places, "<u8").tobytes()) for owner, places in told.items()]
+            for some in groups.values():
+                if len(some) > 1:
+                    twice[some[0]] = True
+                    goes[some[1:]] = False
+                    for i in some:
+                        told[int(owner[i])].append((int(place[i]), int(count[i])))
+            bucket = (least % np.uint64(buckets)).astype(np.int64)
+            order = np.flatnonzero(goes)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for some in np.split(order, cuts):
+                blob = packed(every[spread(first[some], length[some])], length[some], words, twice[some], documents, owner[some], place[some])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([int(bucket[some[0]])], [blob], [None], [None], [None]), _KINDS, strict=True)], _NAMES)
+            out = [(o % buckets, None, *documents[o], np.array(x, "<u8").tobytes()) for o, x in told.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
 
@@ -171,13 +214,13 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
         yield from run(waiting)
 
     def counted(block: pa.Table) -> pa.Table:
-        index: dict[bytes, int] = {}
+        index = Places()
         ids, lengths, twice, documents, owner, places = [], [], [], [], [], []
         told = [(r["doc_id"], r["sha"], r["places"]) for r in block.filter(block["blob"].is_null()).select(["doc_id", "sha", "places"]).to_pylist()]
         for blob in block["blob"]:
             if blob.is_valid:
                 words, n, local, t, known, o, p = unpacked(blob.as_py())
-                ids.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words))[local])
+                ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words))[local])
                 owner.append(o + len(documents))
                 documents += known
                 lengths.append(n)
