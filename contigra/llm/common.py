@@ -1,49 +1,17 @@
-"""What the operators share: tables in the cluster's shared folder, slices of Arrow batches, words and hashes."""
+"""What the operators share: tables in the shared folder, slices of Arrow batches, words and hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: A word is a run of anything but space and tab, newline, vertical tab, form feed, return. bytes.split() cuts there.
-WORD = r"[^\x20\x09-\x0D]+"
-MASK = (1 << 64) - 1
+from ..storage import drop, new_path, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if said:
-        return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="contigra-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/contigra/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: the lineage ends there and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a folder that new_path() named."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["drop", "encoded", "gram_hashes", "mixed", "new_path", "shared_dir", "slices", "stored"]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import stored
 
 #: The golden ratio's fraction of 2^31, odd, so that the points of 2^31 slots are all different: fixed values.
 STEP, RANGE = 1_327_217_885, 1 << 31
@@ -145,6 +145,3 @@ def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-assert WORD == r"[^\x20\x09-\x0D]+"

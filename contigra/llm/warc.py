@@ -4,9 +4,9 @@ write() gives each page a record: `response`, or, for a payload that another pag
 the largest page_id. A block over the segment size goes on in `continuation` records that carry their origin's
 identifier, a segment number and, on the last, the total length. Payloads are in HTTP's chunked transfer framing. The
 records are rows of bytes, which Spark's text writer ends with the two line breaks that close a WARC record, so that any
-file system Spark writes to holds plain .warc files, each of few records.
+file system Spark writes to holds gzipped WARC files, each of few records.
 
-read() takes archives from any writer of uncompressed WARC 1.0 or 1.1: it walks the records of each file by their
+read() takes archives from any writer of plain or gzipped WARC 1.0 or 1.1: it walks the records of each file by their
 Content-Length, groups segments by origin, orders them by number, verifies the total length, decodes the framing and
 verifies the payload's digest. Only segmented records are shuffled.
 
@@ -18,6 +18,7 @@ table gives an archive without records; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -103,8 +104,9 @@ def write(pages: DataFrame, path: str, least: int = 0, chunk: int = 4096, segmen
                     out += records(r["key"], kind, r["page_id"], r["url"], r["html"], r["refers_to"], target, chunk, segment)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
+    # a record's line breaks are the separator's
     lines = rows.mapInArrow(made, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def walked(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -155,7 +157,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for f, block in walked(content.as_py()):
+                data = content.as_py()
+                for f, block in walked(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     whole = "warc-segment-number" not in f
                     rows.append({"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": None if whole else int(f["warc-segment-number"]), "total": number(f.get("warc-segment-total-length")), "type": f["warc-type"], "page_id": number(f.get("x-page-id")), "refers_to": number(f.get("x-refers-to-page-id")), "digest": f.get("warc-payload-digest", ":").partition(":")[2] or None, "block": block})
                     held += len(block)
