@@ -84,13 +84,18 @@ def hits_of(v: Views) -> DataFrame:
     return v.genes.where("marker_id is not null").join(known, "marker_id").select("contig", "gene_num", "marker_id", (M.number(1) / (F.col("bitscore") * 16)).alias("evalue"), "bitscore", "taxid")
 
 
+def told(hits: DataFrame) -> DataFrame:
+    """Hits whose numbers can be null in types that say so everywhere."""
+    return hits.withColumns({"marker_id": F.col("marker_id").cast("string"), "bitscore": F.col("bitscore").cast("double")})
+
+
 HITS = "hits as (select g.contig, g.gene_num, g.marker_id, 1.0::double / (g.bitscore * 16) as evalue, g.bitscore, m.taxid from genes g join markers m on g.marker_id = m.marker_id)"
 
 
-@query("jn_gene_hit", with_views(f"{HITS}\nselect g.contig, g.gene_num, h.marker_id, h.evalue, h.bitscore, coalesce(h.taxid, 1) as taxid from genes g left join hits h on g.contig = h.contig and g.gene_num = h.gene_num", "markers", "genes"))
+@query("jn_gene_hit", with_views(f"{HITS}\nselect g.contig, g.gene_num, cast(h.marker_id as varchar) as marker_id, h.evalue, cast(h.bitscore as double) as bitscore, coalesce(h.taxid, 1) as taxid from genes g left join hits h on g.contig = h.contig and g.gene_num = h.gene_num", "markers", "genes"))
 def _(v: Views) -> DataFrame:
     genes = v.genes.select("contig", "gene_num")
-    return annotate.with_hits(genes, hits_of(v), ["contig", "gene_num"])
+    return told(annotate.with_hits(genes, hits_of(v), ["contig", "gene_num"]))
 
 
 @query("jn_taxname", gm_sql("select contig, gene_num, gm.taxid, case when gm.taxid <> 1 then t.name end as taxname from gm left join taxa t on gm.taxid = t.taxid", "taxa"))
@@ -99,9 +104,9 @@ def _(v: Views) -> DataFrame:
     return annotate.with_taxon_names(genes, v.taxa)
 
 
-@query("gene_annotation", gm_sql("select contig, gene_num, case when gm.cls is not null then marker_id end as marker_id, case when gm.cls is not null then 1.0::double / (bitscore * 16) end as evalue, case when gm.cls is not null then bitscore end as bitscore, gm.taxid, case when gm.taxid <> 1 then t.name end as taxname, uscg, plasmid_hallmark, virus_hallmark, conjscan, amr from gm left join taxa t on gm.taxid = t.taxid", "taxa"))
+@query("gene_annotation", gm_sql("select contig, gene_num, case when gm.cls is not null then cast(marker_id as varchar) end as marker_id, case when gm.cls is not null then 1.0::double / (bitscore * 16) end as evalue, case when gm.cls is not null then cast(bitscore as double) end as bitscore, gm.taxid, case when gm.taxid <> 1 then t.name end as taxname, uscg, plasmid_hallmark, virus_hallmark, conjscan, amr from gm left join taxa t on gm.taxid = t.taxid", "taxa"))
 def _(v: Views) -> DataFrame:
-    return annotate.gene_annotation(v.genes.select("contig", "gene_num"), hits_of(v), v.markers, v.taxa, ["contig", "gene_num"])
+    return told(annotate.gene_annotation(v.genes.select("contig", "gene_num"), hits_of(v), v.markers, v.taxa, ["contig", "gene_num"]))
 
 
 def categories_of(v: Views) -> DataFrame:

@@ -61,7 +61,7 @@ def markers(rows: DataFrame) -> DataFrame:
 
 def taxa(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """taxid, parent, rank and scientific name of a taxdump's lines."""
-    part = lambda i: F.trim(F.get(F.split("value", r"\|"), F.lit(i)))
+    part = lambda i: F.regexp_replace(F.get(F.split("value", r"\|"), F.lit(i)), r"^\s+|\s+$", "")
     n = nodes.select(part(0).cast("int").alias("taxid"), part(1).cast("int").alias("parent"), part(2).alias("rank"))
     called = names.where(part(3) == "scientific name").select(part(0).cast("int").alias("taxid"), part(1).alias("name"))
     return n.join(called, "taxid", "left")
