@@ -143,7 +143,7 @@ def extended_intervals(genes: DataFrame, features: DataFrame, most: int, label:
 
 def extended(genes: DataFrame, features: DataFrame, most: int, label: str = "label") -> DataFrame:
     """Genes with labels anew, by containment in the extended intervals, in contigs where one moved."""
-    wide = extended_intervals(genes, features, most, label)
+    wide = stored(extended_intervals(genes, features, most, label), "provirus-intervals")
     contigs = wide.groupBy("contig").agg(F.max("moved").alias("_moved")).where("_moved").select("contig", "_moved")
     g, p = genes.alias("g"), wide.alias("p")
     inside = g.join(p, (F.col("g.contig") == F.col("p.contig")) & (F.col("g.gene_start") >= F.col("p.p_start")) & (F.col("g.gene_end") <= F.col("p.p_end")), "left_semi").select("contig", "gene_num").withColumn("_in", F.lit(1))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Ranks of a lineage, the ranks below family, and the two taxa of the stricter vote: fixed values.
 RANKS = ("realm", "kingdom", "phylum", "class", "order", "family")
 FULL_RANKS = ("realm", "subrealm", "kingdom", "subkingdom", "phylum", "subphylum", "class", "subclass", "order", "suborder", "family")
@@ -64,8 +66,9 @@ def lineage_text(lineages: DataFrame, of: tuple[str, ...]) -> DataFrame:
 
 def assigned(genes: DataFrame, taxa: DataFrame, lenient: bool = False, full: bool = False, fraction: float = FRACTION, strict: bool = True) -> DataFrame:
     """contig, n_genes_with_taxonomy, agreement, taxid, lineage of each contig with a gene that has a taxon."""
-    lineages = closure(taxa)
-    found = votes(genes, lineages)
+    # both are read many times
+    lineages = stored(closure(taxa), "lineages")
+    found = stored(votes(genes, lineages), "votes")
     first = majority(found, fraction, strict)
     # a phylum with a low agreement is judged again where a gene is of a class that it can't hold
     doubted = first.where(F.col("agreement") < STRICT_FRACTION).join(has_rank(lineages, "phylum", STRICT_PHYLUM), "taxid", "left_semi")

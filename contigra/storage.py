@@ -20,8 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders that this process named, for clean().
+_named: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/contigra/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{shared_dir(spark)}/contigra/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,3 +40,9 @@ def drop(spark: SparkSession, path: str) -> None:
     """Removes a folder that new_path() named."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the folders that this process has named. Results that are still lazy read them: write these first."""
+    while _named:
+        drop(spark, _named.pop())
