@@ -979,22 +979,22 @@ def report_sql(body: str) -> str:
 def virus_rows(v: Views) -> DataFrame:
     chosen = select.flag_sequences(candidates_of(v), select.VIRUS, FILTERS)
     out = select.virus_report(chosen, dims_of(v), lineages_of(v))
-    return out.withColumns({c: r(c) for c in ("virus_score", "fdr", "marker_enrichment")})
+    return out.withColumns({c: r(c) for c in ("virus_score", "fdr", "marker_enrichment")} | {"genetic_code": F.col("genetic_code").cast("string")})
 
 
 for _name in ("virus_report", "jn_summary_dims"):
 
-    @query(_name, report_sql(f"{DIMS},\n{TAXTEXT},\n{flagged_sql(select.VIRUS)}\nselect fl.name as seq_name, length, topology, coordinates, n_genes, genetic_code, round(score_v, 6) as virus_score, round(fdr, 6) as fdr, n_virus_hallmarks as n_hallmarks, round(enrichment_v, 6) as marker_enrichment, coalesce(lineage, 'Unclassified') as taxonomy from fl left join dims on fl.name = dims.name left join tx on fl.name = tx.name"))
+    @query(_name, report_sql(f"{DIMS},\n{TAXTEXT},\n{flagged_sql(select.VIRUS)}\nselect fl.name as seq_name, length, topology, coordinates, n_genes, cast(genetic_code as varchar) as genetic_code, round(score_v, 6) as virus_score, round(fdr, 6) as fdr, n_virus_hallmarks as n_hallmarks, round(enrichment_v, 6) as marker_enrichment, coalesce(lineage, 'Unclassified') as taxonomy from fl left join dims on fl.name = dims.name left join tx on fl.name = tx.name"))
     def _(v: Views) -> DataFrame:
         return virus_rows(v)
 
 
-@query("plasmid_report", report_sql(f"{DIMS},\n{GM},\n{flagged_sql(select.PLASMID)},\nnotes as (select cast(contig as varchar) as name, string_agg(conjscan, ';' order by gene_num) as cj, string_agg(amr, ';' order by gene_num) as am from gm group by 1)\nselect fl.name as seq_name, length, topology, n_genes, genetic_code, round(score_p, 6) as plasmid_score, round(fdr, 6) as fdr, n_plasmid_hallmarks as n_hallmarks, round(enrichment_p, 6) as marker_enrichment, cj as conjugation_genes, am as amr_genes from fl left join dims on fl.name = dims.name left join notes on fl.name = notes.name"))
+@query("plasmid_report", report_sql(f"{DIMS},\n{GM},\n{flagged_sql(select.PLASMID)},\nnotes as (select cast(contig as varchar) as name, string_agg(conjscan, ';' order by gene_num) as cj, string_agg(amr, ';' order by gene_num) as am from gm group by 1)\nselect fl.name as seq_name, length, topology, n_genes, cast(genetic_code as varchar) as genetic_code, round(score_p, 6) as plasmid_score, round(fdr, 6) as fdr, n_plasmid_hallmarks as n_hallmarks, round(enrichment_p, 6) as marker_enrichment, cj as conjugation_genes, am as amr_genes from fl left join dims on fl.name = dims.name left join notes on fl.name = notes.name"))
 def _(v: Views) -> DataFrame:
     chosen = select.flag_sequences(candidates_of(v), select.PLASMID, FILTERS)
     genes = annotate.with_annotation(v.genes, v.markers).withColumn("name", F.col("contig").cast("string"))
     out = select.plasmid_report(chosen, dims_of(v), genes)
-    return out.withColumns({c: r(c) for c in ("plasmid_score", "fdr", "marker_enrichment")})
+    return out.withColumns({c: r(c) for c in ("plasmid_score", "fdr", "marker_enrichment")} | {"genetic_code": F.col("genetic_code").cast("string")})
 
 
 @query("jn_fasta_set", with_views(f"{CAND},\nx as (select name from cand where score_p >= 0.3 and not is_provirus),\ny as (select name from cand where score_v >= 0.2 and not is_provirus)\nselect cast(contig as varchar) as name, case when cast(contig as varchar) in (select name from x) then 'plasmid' else 'virus' end as kind from contigs where cast(contig as varchar) in (select name from x union select name from y)", "branch_scores", "contigs"))
