@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import encoded, gram_hashes, mixed, slices
 
 _SENT = "bucket long, blob binary, doc_id long, sha long, places binary"
-_STRETCH = 1 << 18
+_STRETCH, _FREQUENT = 1 << 18, 256
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 _KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -87,18 +87,20 @@ def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -
 def packed(ids: np.ndarray, lengths: np.ndarray, words: list[bytes], twice: np.ndarray, documents: list[tuple[int | None, int]], owner: np.ndarray, places: np.ndarray) -> bytes:
     """Super-k-mers with their words as one compressed string. ids: all their words, as places in `words`.
 
-    The dictionary has the frequent words first, and the ids' low and high bytes stand apart, as they compress better."""
+    The dictionary has the most frequent words first, the others sorted, and the ids' low and high bytes stand apart, as
+    they compress better."""
     counts = np.bincount(ids, minlength=len(words))
-    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].tolist()
+    order[_FREQUENT:] = sorted(order[_FREQUENT:], key=words.__getitem__)
     local = np.empty(len(words), "<u4")
     local[order] = np.arange(len(order), dtype="<u4")
     planes = local[ids].view(np.uint8).reshape(-1, 4)[:, : 2 if len(order) <= 1 << 16 else 4].T
     own, place = np.unique(owner, return_inverse=True)
     of = [documents[o] for o in own.tolist()]
     known = np.array([0 if d is None else d for d, _ in of], "<i8").tobytes() + np.array([d is None for d, _ in of], "u1").tobytes() + np.array([s for _, s in of], "<i8").tobytes()
-    parts = [b" ".join([words[i] for i in order.tolist()]), lengths.astype("<u4").tobytes(), planes.tobytes(), twice.astype("u1").tobytes(), known, place.astype("<u4").tobytes(), places.astype("<u8").tobytes()]
+    parts = [b" ".join([words[i] for i in order]), lengths.astype("<u4").tobytes(), planes.tobytes(), twice.astype("u1").tobytes(), known, place.astype("<u4").tobytes(), places.astype("<u8").tobytes()]
     head = np.array([len(planes), *map(len, parts)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[tuple[int | None, int]], np.ndarray, np.ndarray]:
