@@ -410,6 +410,20 @@ def test_neardup(docs, rows, empty):
     assert ids[100] == 1 and ids[101] == 0 and ids[171] == 1 and ids[160] == 1 and ids[None] == 1
 
 
+def test_one_row_a_component(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 40) for _ in range(12)]
+    near = [" ".join(w if j != 20 else "changed" for j, w in enumerate(t.split())) for t in texts]
+    rows = [(None, t) for t in texts[:6] + near[:3] + texts[:2]] + [(7, texts[6]), (7, texts[7]), (7, near[7]), (8, near[7]), (7, texts[6])]
+    rows += [(None, texts[8]), (9, near[8]), (9, texts[9])] + [(None, None), (None, None), (None, ""), (None, " \t\n\v"), (5, ""), (5, "")]
+    got = [tuple(r) for r in neardup.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    bare = [r for r in rows if not words_of(r[1])]
+    assert Counter(r for r in got if not words_of(r[1])) == Counter(bare)
+    kept = [r for r in got if words_of(r[1])]
+    origin = {t: i for i, pair in enumerate(zip(texts, near)) for t in pair}
+    assert Counter((d, origin[t]) for d, t in kept) == Counter([(None, i) for i in range(6)] + [(7, 6), (7, 7), (9, 8), (9, 9)])
+
+
 @pytest.mark.parametrize("tile", [256, 4])
 def test_neardup_chains(spark, monkeypatch, tile):
     monkeypatch.setattr(neardup, "TILE", tile)
