@@ -4,7 +4,8 @@ A span is the place of a match in code points, end exclusive. Base kinds are fou
 method adds kind `entropy`: a candidate is a maximal run of a character class (hexadecimal; letters, digits and +/_-).
 A window slides over it, whose Shannon entropy is kept by incremental counts (one character in, one out; integers only,
 so that no rounding gathers), and windows at or above the class's threshold merge into spans. Candidates on the
-allow-list give none, and neither do spans that overlap a base span, which tells the same secret already.
+allow-list give none. Base spans, which tell their own secret already, cut a candidate: only windows that lie wholly
+outside of them count, so that what stands beside a base span is told too.
 
 Matches and the text between them come from one pattern each by split() and regexp_extract_all(); their lengths give the
 places. Every row is scanned for itself: no shuffle, no state between rows.
@@ -72,8 +73,20 @@ def _located(text: Column, pattern: str, each: Callable[[Column, Column], Column
     return F.when(F.size(found) > 0, F.aggregate(rows, start, step, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
 
 
+def blanked(candidate: Column, begin: Column, spans: Column) -> Column:
+    """A candidate that begins at `begin`, with blanks where spans cover it."""
+    size = F.length(candidate)
+
+    def step(s: Column, x: Column) -> Column:
+        at, to = F.greatest(x["start"] - begin, F.lit(0)).cast("int"), F.least(x["stop"] - begin, size).cast("int")
+        return F.overlay(s, F.repeat(F.lit(" "), to - at), at + 1, to - at)
+
+    return F.aggregate(F.filter(spans, lambda x: (x["start"] < begin + size) & (begin < x["stop"])), candidate, step)
+
+
 def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
-    """Merged windows of a candidate whose entropy reaches the class's threshold, as array of (s, e) in it."""
+    """Merged windows of a candidate whose entropy reaches the class's threshold, as array of (s, e) in it; windows with other
+    characters than the class's, as blanks, don't count."""
     w = c.window
     # k log2 k in millionths: a window's entropy is log2 w less their sum / w
     logs = F.array(*[F.lit(round(k * math.log2(k) * _UNIT) if k else 0) for k in range(w + 2)])
@@ -83,24 +96,25 @@ def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
     # what a step takes in stands beside what it lets go, w characters earlier
     gone = F.slice(F.concat(F.array_repeat(F.lit(-1), w), codes), F.lit(1), F.length(text))
     steps = F.zip_with(codes, gone, lambda x, y: F.struct(x.alias("into"), y.alias("gone")))
-    start = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(c.letters)).alias("counts"), F.lit(0).alias("sum"), F.array().cast(_RUNS).alias("runs"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("clean"), F.array_repeat(F.lit(0), len(c.letters)).alias("counts"), F.lit(0).alias("sum"), F.array().cast(_RUNS).alias("runs"))
 
     def step(s: Column, x: Column) -> Column:
         into, gone, counts = x["into"], x["gone"], s["counts"]
-        was, left = F.get(counts, into), F.coalesce(F.get(counts, gone), F.lit(1))
+        was, left = F.coalesce(F.get(counts, into), F.lit(0)), F.coalesce(F.get(counts, gone), F.lit(1))
+        clean = F.when(into < 0, 0).otherwise(s["clean"] + 1)
         change = F.get(logs, was + 1) - F.get(logs, was) + F.get(logs, left - 1) - F.get(logs, left)
         moved = F.transform(counts, lambda v, k: v + (k == into).cast("int") - (k == gone).cast("int"))
         total, begin, end = F.when(into == gone, s["sum"]).otherwise(s["sum"] + change).cast("int"), s["i"] - (w - 1), s["i"] + 1
         last, n = F.try_element_at(s["runs"], F.lit(-1)), F.size(s["runs"])
         joined = F.when(last["e"] >= begin, F.concat(F.slice(s["runs"], F.lit(1), n - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e"))))).otherwise(F.concat(s["runs"], F.array(F.struct(begin.alias("s"), end.alias("e")))))
-        return F.struct(end.alias("i"), F.when(into == gone, counts).otherwise(moved).alias("counts"), total.alias("sum"), F.when((begin >= 0) & (total <= most), joined).otherwise(s["runs"]).alias("runs"))
+        return F.struct(end.alias("i"), clean.alias("clean"), F.when(into == gone, counts).otherwise(moved).alias("counts"), total.alias("sum"), F.when((clean >= w) & (total <= most), joined).otherwise(s["runs"]).alias("runs"))
 
     return F.aggregate(steps, start, step, lambda s: s["runs"])
 
 
-def _entropy(text: Column, c: CharacterClass) -> Column:
+def _entropy(text: Column, c: CharacterClass, base: Column) -> Column:
     def each(place: Column, candidate: Column) -> Column:
-        runs = F.transform(entropy_runs(candidate, c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
+        runs = F.transform(entropy_runs(blanked(candidate, place["start"], base), c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
         return F.when(candidate.rlike(ALLOWED), F.array().cast(_SPANS)).otherwise(runs)
 
     return _located(text, c.pattern, each)
@@ -113,9 +127,8 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = _located(text, ASSIGN, lambda p, g: F.when(F.length(g) >= LEAST_ASSIGN, F.array(_span(p["start"], 0, p["stop"]))).otherwise(none), of=2)
     others = [_located(text, x, lambda p, _, k=k: F.array(_span(p["start"], k, p["stop"]))) for k, x in ((1, ACCESS), (2, HEX))]
     found = docs.withColumn("base_spans", F.array_sort(F.concat(assign, *others)))
-    added = F.array_distinct(F.concat(*[_entropy(text, c) for c in CLASSES]))
-    apart = F.filter(added, lambda x: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", apart)))
+    added = F.array_distinct(F.concat(*[_entropy(text, c, F.col("base_spans")) for c in CLASSES]))
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", added)))
 
 
 def told(spans: Column) -> Column:

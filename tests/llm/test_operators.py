@@ -155,6 +155,19 @@ def test_entropy_windows(spark):
     assert all([(x.s, x.e) for x in r.r] == brute_runs(r.t, c) for r in got)
 
 
+def test_entropy_beside_base_spans(spark):
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.sample(secrets.CLASSES[1].letters[:62], n))
+    access, word, code = "AKIA" + "ABCDEFGH23456789", token(30), "8c1f0e7a95d3b264" * 2
+    # text, and the base span and what is left beside it
+    texts = [(f"{access}/{word}", [f"access:0:{len(access)}", f"entropy:{len(access)}:{len(access) + 31}"]), (f"{code}-{word}", ["hex:0:32", "entropy:32:63"]), (f"é {word}-password=aaaaaaaaaaaaaa", ["entropy:2:33", "assign:33:56"])]
+    texts += [(f"{access}/{word[:18]}", ["access:0:20"]), (f"{word}/{code}/{word}", ["entropy:0:31", "hex:31:63", "entropy:63:94"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secrets.summary(df).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(texts)}
+    assert all(word not in r.text for r in secrets.redacted(df).collect())
+
+
 def test_redaction_keeps_columns(docs, empty):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
