@@ -3,9 +3,10 @@
 A span is the place of a match in code points, end exclusive. Base kinds are found leftmost and non-overlapping. The
 method adds kind `entropy`: a candidate is a maximal run of a character class (hexadecimal; letters, digits and +/_-).
 A window slides over it, whose Shannon entropy is kept by incremental counts (one character in, one out; integers only,
-so that no rounding gathers), and windows at or above the class's threshold merge into spans. Candidates on the
-allow-list give none. Base spans, which tell their own secret already, cut a candidate: only windows that lie wholly
-outside of them count, so that what stands beside a base span is told too.
+so that no rounding gathers), and windows at or above the class's threshold merge into spans. Candidates that are
+on the allow-list from end to end give none. Stretches on the allow-list, and base spans, which tell their own secret
+already, cut a candidate, however long: only windows that lie wholly outside of them count, so that what stands beside
+is told too.
 
 Matches and the text between them come from one pattern each by split() and regexp_extract_all(); their lengths give the
 places. Every row is scanned for itself: no shuffle, no state between rows.
@@ -30,8 +31,12 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_ASSIGN = 12
 
-#: Candidates that are no secrets: words or numbers alone, paths of words, teaching examples, one character over and over.
-ALLOWED = r"(?i)^[a-z]+([-_/][a-z]+)*$|^[0-9]+$|example|sample|dummy|placeholder|changeme|your[-_]|xxxxx|(.)\2{7}|0123456789|abcdefghij"
+#: Candidates that are no secrets from end to end: words or numbers alone, paths of words.
+ALLOWED = r"(?i)^[a-z]+([-_/][a-z]+)*$|^[0-9]+$"
+#: Stretches of a candidate that are none: teaching words, each with up to 20 letters or digits joined to it on either side;
+#: alphabets; one character over and over.
+TEACHING = r"example|sample|dummy|placeholder|changeme|your[-_]"
+ALLOWED_STRETCH = rf"(?i)[a-z0-9]{{0,20}}(?:{TEACHING})(?:(?!{TEACHING})[a-z0-9]){{0,20}}|x{{5,}}|(.)\1{{7,}}|0123456789|abcdefghij"
 
 
 @dataclass(frozen=True)
@@ -114,7 +119,9 @@ def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
 
 def _entropy(text: Column, c: CharacterClass, base: Column) -> Column:
     def each(place: Column, candidate: Column) -> Column:
-        runs = F.transform(entropy_runs(blanked(candidate, place["start"], base), c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
+        allowed = _located(candidate, ALLOWED_STRETCH, lambda p, _: F.array(_span(p["start"], 3, p["stop"])))
+        left = blanked(blanked(candidate, place["start"], base), F.lit(0), allowed)
+        runs = F.transform(entropy_runs(left, c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
         return F.when(candidate.rlike(ALLOWED), F.array().cast(_SPANS)).otherwise(runs)
 
     return _located(text, c.pattern, each)

@@ -168,6 +168,20 @@ def test_entropy_beside_base_spans(spark):
     assert all(word not in r.text for r in secrets.redacted(df).collect())
 
 
+def test_allowed_stretches_cut_no_more(spark):
+    rng, c = random.Random(4), secrets.CLASSES[1]
+    token = lambda n: "".join(rng.choice(c.letters[:62]) for _ in range(n))
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAB"
+    texts = [key + token(1500), *(f"{x}{token(40)}" for x in ("datasets/sample/", "dummy/", "find-your-key-", "xxxxxxxx", "AAAAAAAAA", "a/0123456789/")), f"{token(30)}/placeholder", token(200) + "example" + token(200), "sample" * 40, "some/sample/words-alone_here", "A" * 3000 + token(30)]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("entropy")] for r in secrets.summary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        left = re.sub(secrets.ALLOWED_STRETCH, lambda m: " " * len(m[0]), t)
+        pieces = [] if re.search(secrets.ALLOWED, t) else re.finditer("[^ ]+", left)
+        assert got[i] == [f"entropy:{m.start() + a}:{m.start() + e}" for m in pieces for a, e in brute_runs(m[0], c)], t
+    assert all(got[i] for i in (*range(9), 11)) and not got[9] and not got[10]
+    assert got[0][-1].endswith(f":{len(texts[0])}") and got[1] == [f"entropy:15:{len(texts[1])}"]
+
+
 def test_redaction_keeps_columns(docs, empty):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
