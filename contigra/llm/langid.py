@@ -136,6 +136,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 4 == 2, F.lit(True))
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter; false of null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def fit(docs: DataFrame, rows_a_language: int = 400, text_bytes: int = 4096, **how: object) -> Network | None:
     """A network of a bounded sample: about rows_a_language rows of each language that aren't held out, by a hash of the
     text, and of each text its first text_bytes bytes. None without labelled rows."""
@@ -152,8 +157,7 @@ def fit(docs: DataFrame, rows_a_language: int = 400, text_bytes: int = 4096, **h
 
 def predict(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
     """Column row, a struct of the columns to keep (all of docs', unless said), lang_pred, and score, its probability."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.when(letters, F.col("text")).alias("given"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.when(lettered(F.col("text")), F.col("text")).alias("given"))
     if network is None:
         return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     table, size = symbol_table(), network.window

@@ -12,8 +12,12 @@ LEAST_SCORE = 0.4
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; those without letters, or of which it isn't sure, go."""
-    found = langid.predict(docs, langid.fit(docs))
+    """Documents in a language that the network knows; those without letters, or of which it isn't sure, go. Without any
+    label to learn from there is no network, and all documents with letters pass."""
+    network = langid.fit(docs)
+    if network is None:
+        return docs.where(langid.lettered(docs["text"]))
+    found = langid.predict(docs, network)
     return found.where((found.lang_pred != "und") & (found.score >= LEAST_SCORE)).select("row.*")
 
 

@@ -573,6 +573,16 @@ def test_pipeline(spark, docs, rows, tmp_path, vocabulary):
     assert p.run(spark, f"file://{tmp_path}").count() > 0
 
 
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline as p
+
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    texts = ["some words", "é", "123 456", "", None]
+    for rows in ([(i, t, None) for i, t in enumerate(texts)], [(held, t, "en") for t in texts]):
+        kept = p.identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+        assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.text for r in kept.collect()) == ["some words", "é"]
+
+
 def test_manifest_of_queries():
     from contigra.llm import queries
 
