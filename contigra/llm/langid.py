@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,7 +85,7 @@ def train(texts: list[bytes], langs: list[str], window: int = 256, widths: tuple
     rng, table = np.random.default_rng(seed), symbol_table()
     languages = sorted(set(langs))
     cut = [windows_of(table[np.frombuffer(t, np.uint8)], window) for t in texts]
-    cut = [w[:-1] if len(w) > 1 else w for w in cut]
+    cut = [w[:-1] if len(w) > 1 and len(t) % window else w for w, t in zip(cut, texts, strict=True)]
     x, y = np.concatenate(cut), np.repeat([languages.index(g) for g in langs], [len(w) for w in cut])
     by = [np.flatnonzero(y == k) for k in range(len(languages))]
     filters = [rng.normal(0, 0.3, (w, SYMBOLS, count)) for w in widths]
@@ -141,17 +142,28 @@ def lettered(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def spread(text: Column, window: int, most: int) -> Column:
+    """A text's bytes; of those of more than `most`, as many whole windows as go into that, spread evenly from end to end."""
+    data, n = F.encode(text, "utf-8"), max(1, most // window)
+    size = F.octet_length(text)
+    pieces = [F.substring(data, (F.floor((size - window) * i / max(1, n - 1)) + 1).cast("int"), F.lit(window)) for i in range(n)]
+    return F.when(size <= most, data).otherwise(F.concat(*pieces))
+
+
 def fit(docs: DataFrame, rows_a_language: int = 400, text_bytes: int = 4096, **how: object) -> Network | None:
-    """A network of a bounded sample: about rows_a_language rows of each language that aren't held out, by a hash of the
-    text, and of each text its first text_bytes bytes. None without labelled rows."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    """A network of a bounded sample: of each language by itself about 1.6 and at most 2 times rows_a_language distinct texts
+    of rows that aren't held out, by a hash of the text, and of each text windows of text_bytes bytes in all, spread over the
+    whole. None without labelled rows."""
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & lettered(F.col("text"))).select("lang", F.col("text").alias("t"), F.xxhash64("text").alias("h"))
     # languages are few; more than 1000 labels would be no languages
-    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()
+    counts = usable.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.6 * rows_a_language / r["n"]))) for r in counts], F.lit(0.0))
-    drawn = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    found = drawn.select("lang", F.substring(F.encode("text", "utf-8"), 1, text_bytes).alias("t")).orderBy(F.xxhash64("t"), "lang").limit(2 * rows_a_language * len(counts)).collect()
+    drawn = usable.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "h", spread(F.col("t"), int(how.get("window", 256)), text_bytes).alias("t"))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    one = drawn.groupBy("lang", "h").agg(F.first("t").alias("t")).withColumn("turn", turn).where(F.col("turn") <= 2 * rows_a_language)
+    found = one.orderBy("h", "lang").collect()
     return train([bytes(r["t"]) for r in found], [r["lang"] for r in found], **how) if found else None
 
 

@@ -346,6 +346,21 @@ def test_languages(spark, docs, empty):
     assert langid.identified(empty).collect() == []
 
 
+def test_languages_learn_from_distinct_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [("aa", "the copied text")] * 3000 + [("aa", prose(rng, 30)) for _ in range(200)] + [("bb", prose(rng, 30)) for _ in range(300)] + [("cc", "start " * 3000 + "middle " * 3000 + "finish " * 3000)]
+    rows = [(i, t, g) for i, (g, t) in zip(ids, texts)]
+    monkeypatch.setattr(langid, "train", lambda texts, langs, **how: list(zip(langs, texts)))
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows_a_language=30)
+    n = Counter(g for g, _ in got)
+    assert len(set(got)) == len(got) and n["cc"] == 1 and all(30 <= n[g] <= 60 for g in ("aa", "bb"))
+    long = dict(got)["cc"]
+    assert len(long) == 4096 and all(w in long for w in (b"start", b"middle", b"finish")) and long.endswith(b"finish ")
+    again = langid.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"), rows_a_language=30)
+    assert again == got
+
+
 def test_language_tables_are_the_convolution():
     rng = np.random.default_rng(1)
     net = langid.Network(["a", "b"], [rng.normal(0, 1, (w, 64, 3)).astype(np.float32) for w in (2, 3, 5)], rng.normal(0, 1, (9, 2)).astype(np.float32), np.zeros(2, np.float32), 32)
