@@ -2,8 +2,8 @@
 
 One view sees the text alone: shares of byte-class trigrams (upper and lower case, digits, white space, sentence marks,
 other marks, other scripts) and a few ratios. The other sees the page's metadata alone: source, language, length. Each
-is a logistic regression on a bounded sample of labelled rows. In rounds, each view labels the unlabelled rows of which
-it is most sure, and the other learns from them. Part of the labelled rows is kept back: on it each view is calibrated
+is a logistic regression on a bounded sample of labelled rows. In rounds, each view labels those of all unlabelled rows of
+which it is most sure, found where they lie and compared in two levels, and the other learns from them. Part of the labelled rows is kept back: on it each view is calibrated
 by Platt scaling, the views are combined, and the threshold is set so that good documents stay. All documents are then
 scored where they lie; no text is shuffled.
 
@@ -15,12 +15,13 @@ all are kept; a null doc_id is scored like any other; equal rows get equal score
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import encoded, slices
@@ -104,29 +105,35 @@ class CoTrained:
         return np.column_stack([chance(z[:, 0]), chance(z[:, 1]), chance(margin(z, self.combined))])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 4, share: float = 0.05, sure: float = 0.9, seed: int = 3) -> CoTrained | None:
-    """Classifiers of two views of labelled rows and of a pool of unlabelled ones; None unless both labels occur.
+#: Of (view, label), the surest rows in descending order: key, text view, metadata view.
+Surest = dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]]
 
-    Each round, of the pool's rows of which a view is at least `sure`, the surest ones, up to `share` of the labelled rows
-    for each label in the labels' proportion, become labelled rows of the other view."""
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest: Callable[[list[np.ndarray], float, set[int], int], Surest], rounds: int = 4, share: float = 0.05, sure: float = 0.9, seed: int = 3) -> CoTrained | None:
+    """Classifiers of two views of labelled rows and of the unlabelled ones; None unless both labels occur.
+
+    Each round, of the unlabelled rows of which a view is at least `sure`, the surest ones, up to `share` of the labelled rows
+    for each label in the labels' proportion, become labelled rows of the other view. surest: gives for weights, `sure`, keys
+    taken before and a number the so many surest other rows."""
     order = np.random.default_rng(seed).permutation(len(y))
     kept, learn = order[: len(y) // 4], order[len(y) // 4 :]
     if len({*y[learn].tolist()}) < 2:
         return None
     own = [[views[v][learn]] for v in (0, 1)]
     labels = [[y[learn].astype(float)] for _ in (0, 1)]
-    free = np.ones(len(pool[0]), bool)
+    taken: set[int] = set()
+    most = {label: max(1, int(share * len(learn) * (y[learn] == label).mean())) for label in (1, 0)}
     weights = [logistic(np.vstack(own[v]), np.concatenate(labels[v])) for v in (0, 1)]
     for _ in range(rounds):
+        # what a round takes for one view or label is no more free for the next: so many more are asked for
+        found = surest(weights, sure, taken, 2 * sum(most.values()))
         for v in (0, 1):
-            p = chance(margin(pool[v], weights[v]))
-            for label, q in ((1, p), (0, 1 - p)):
-                most = max(1, int(share * len(learn) * (y[learn] == label).mean()))
-                able = np.flatnonzero(free & (q >= sure))
-                new = able[np.argsort(-q[able], kind="stable")[:most]]
-                free[new] = False
-                own[1 - v].append(pool[1 - v][new])
-                labels[1 - v].append(np.full(len(new), float(label)))
+            for label in (1, 0):
+                new = [r for r in found[v, label] if r[0] not in taken][: most[label]]
+                taken |= {r[0] for r in new}
+                if new:
+                    own[1 - v].append(np.stack([r[2 - v] for r in new]))
+                    labels[1 - v].append(np.full(len(new), float(label)))
         weights = [logistic(np.vstack(own[v]), np.concatenate(labels[v]), steps=80, start=weights[v]) for v in (0, 1)]
     back = kept if len({*y[kept].tolist()}) == 2 else learn
     z = [margin(views[v][back], weights[v]) for v in (0, 1)]
@@ -143,9 +150,49 @@ def _features(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([np.frombuffer(r["a"], np.float32) for r in rows]), np.stack([meta_view(r["source"], r["lang"], r["n_chars"]) for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4000, pool_rows: int = 4000) -> tuple[CoTrained | None, float]:
-    """Classifiers fitted to at most labelled_rows labelled rows and pool_rows others, chosen by a hash of the doc_id, and
-    the share of good labels among the first."""
+def surest_rows(rows: DataFrame, weights: list[np.ndarray], sure: float, taken: set[int], most: int) -> Surest:
+    """Of each view and label the `most` surest of all rows, but for those taken; rows that are equal but for doc_id have one
+    key and count once.
+
+    Each task keeps its own surest, groups of tasks theirs, and then all; no level reads more with more rows."""
+    least = float(np.log(sure / (1 - sure)))
+    names = ["side", "s", "key", "source", "lang", "n_chars", "a"]
+    schema = "side int, s double, key long, source string, lang string, n_chars long, a binary"
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[int, tuple]] = [{} for _ in range(4)]
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                meta = list(zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True))
+                views = np.stack([text_view(t or b"") for t in encoded(batch.column("text"))]), np.stack([meta_view(*x) for x in meta])
+                keys = batch.column("key").to_numpy()
+                for side, kept in enumerate(held):
+                    z = np.round(margin(views[side // 2], weights[side // 2]), 6)
+                    s = z if side % 2 else -z
+                    able = np.flatnonzero(s >= least)
+                    new = 0
+                    for i in able[np.lexsort((keys[able], -s[able]))].tolist():
+                        if new < most and (key := int(keys[i])) not in kept and key not in taken:
+                            kept[key] = (float(s[i]), *meta[i], views[0][i].tobytes())
+                            new += 1
+                    if len(kept) > most:
+                        held[side] = dict(sorted(kept.items(), key=lambda x: (-x[1][0], x[0]))[:most])
+        out = [(side, r[0], key, *r[1:]) for side, kept in enumerate(held) for key, r in kept.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()], strict=True)], names)
+
+    found = rows.mapInArrow(best, schema).withColumn("part", F.floor(F.spark_partition_id() / 32))
+    for by in (["side", "part"], ["side"]):
+        found = found.withColumn("turn", F.dense_rank().over(W.partitionBy(*by).orderBy(F.desc("s"), "key"))).where(F.col("turn") <= most).drop("turn").dropDuplicates([*by, "key"])
+    out: Surest = {(v, label): [] for v in (0, 1) for label in (1, 0)}
+    for r in sorted(found.collect(), key=lambda r: (-r["s"], r["key"])):
+        out[r["side"] // 2, r["side"] % 2].append((r["key"], np.frombuffer(r["a"], np.float32), meta_view(r["source"], r["lang"], r["n_chars"])))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4000) -> tuple[CoTrained | None, float]:
+    """Classifiers fitted to at most labelled_rows labelled rows, chosen by a hash of the doc_id, and to the surest of all
+    others, and the share of good labels among the first."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     drawn = {r["doc_id"]: int(r["q"] > 0.5) for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).collect()}
     if not drawn:
@@ -153,10 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4000, pool_rows
     mean = sum(drawn.values()) / len(drawn)
     if len(set(drawn.values())) < 2:
         return None, mean
-    every = max(1, docs.count() // pool_rows)
-    of_pool = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    rows = rows.where(F.col("doc_id").isin(list(drawn)) | of_pool)
+    is_drawn = F.coalesce(F.col("doc_id").isin(list(drawn)), F.lit(False))
 
     def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,12 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = 4000, pool_rows
                 a = [text_view(t or b"").tobytes() for t in encoded(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), batch.column("n_chars"), pa.array(a, pa.binary())], ["doc_id", "source", "lang", "n_chars", "a"])
 
-    seen = rows.mapInArrow(viewed, "doc_id long, source string, lang string, n_chars long, a binary")
-    seen = seen.orderBy(~F.col("doc_id").isin(list(drawn)), F.xxhash64("doc_id"), "doc_id", "a").limit(labelled_rows + pool_rows).collect()
-    known, pool = [r for r in seen if r["doc_id"] in drawn], [r for r in seen if r["doc_id"] not in drawn]
+    seen = rows.where(is_drawn).mapInArrow(viewed, "doc_id long, source string, lang string, n_chars long, a binary").distinct()
+    known = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "a", "source", "lang", "n_chars").limit(labelled_rows).collect()
     if not known:
         return None, mean
-    return co_train(_features(known), np.array([drawn[r["doc_id"]] for r in known]), _features(pool)), mean
+    pool = rows.where(~is_drawn).select("text", "source", "lang", "n_chars", F.xxhash64("text", "source", "lang", "n_chars").alias("key"))
+    return co_train(_features(known), np.array([drawn[r["doc_id"]] for r in known]), lambda *how: surest_rows(pool, *how)), mean
 
 
 def score(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:

@@ -574,6 +574,30 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in none} == {0.5} and all(r.kept for r in none)
 
 
+def test_co_training_takes_the_surest_of_all_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["!! ".join(prose(rng, rng.randint(3, 60)).split()[: rng.randint(1, 60)]).upper() if i % 3 else prose(rng, rng.randint(3, 60)).capitalize() + "." for i in range(5000)]
+    rows = [(i if i % 5 else None, t, "en", f"s{i % 7}", len(t)) for i, t in enumerate(texts)]
+    rows += [(1, "a labelled copy", "en", "s1", 5)] * 5000 + [(20_000 + i, *rows[11][1:]) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    asked, real = [], quality.surest_rows
+    monkeypatch.setattr(quality, "surest_rows", lambda *how: asked.append((how[1], set(how[3]), how[4], real(*how))) or asked[-1][3])
+    model, _ = quality.fit(spark.createDataFrame(rows, SCHEMA).repartition(40), labels)
+    pool = sorted({r[1:] for r in rows if r[0] is None or r[0] >= 200})
+    assert model is not None and len(asked) == 4 and len(pool) > 4500
+    views = np.stack([quality.text_view(r[0].encode()) for r in pool]), np.stack([quality.meta_view(r[2], r[1], r[3]) for r in pool])
+    for weights, taken, most, got in asked:
+        for (v, label), found in got.items():
+            z = np.round(quality.margin(views[v], weights[v]), 6) * (1 if label else -1)
+            best = np.sort(z[z >= math.log(9)])[::-1]
+            told = [round(float(quality.margin(r[1 + v], weights[v])) * (1 if label else -1), 6) for r in found]
+            assert len({r[0] for r in found}) == len(found) <= most and not taken & {r[0] for r in found}
+            # those taken before are free no more
+            assert len(found) == most or len(found) >= len(best) - len(taken)
+            if not taken:
+                assert np.allclose(told, best[:most], atol=2e-6)
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
