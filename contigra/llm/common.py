@@ -33,16 +33,18 @@ def encoded(column: pa.Array) -> list[bytes | None]:
 
 
 class WordHash(dict):
-    """64-bit hash by word, kept for up to limit words."""
+    """64-bit hash by word, kept for up to limit words: some 15 MB of short ones."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 1 << 16) -> None:
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:  # a long word is rare, and only its hash is small
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -12,9 +12,11 @@ come; a null doc_id stays null; an empty table gives no rows; columns other than
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,70 +26,80 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: How the byte-level vocabulary splits a text and writes bytes as characters: fixed values of the public file format.
+#: How the byte-level vocabulary splits a text: a fixed value of the public file format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TABLE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rest binary"
 
 
-def byte_characters() -> dict[int, str]:
-    """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
-class Recent(dict):
-    """What `make` gives for a string, kept for the latest ones: at least limit, at most twice as many."""
-
-    def __init__(self, limit: int, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.limit, self.make, self.older = limit, make, {}
-
-    def __missing__(self, s: str) -> bytes:
-        if (got := self.older.get(s)) is None:
-            got = self.make(s)
-        if len(s) <= 64:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[s] = got
-        return got
+def ranked(file: dict) -> dict[bytes, int] | None:
+    """The ids of a byte-level vocabulary file by their bytes, if they tell the merges' order too; None for any other file."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = not file.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    of, special = byte_characters(), {t["content"] for t in file.get("added_tokens", [])}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"][t] for t in made]
+    if ids != sorted(set(ids)) or len(ids) + 256 + len(special & model["vocab"].keys()) != len(model["vocab"]):
+        return None
+    return {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
 
 
 class Vocabulary:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to the library's encode(add_special_tokens=False).
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, equal to the tokenizers library's
+    encode(add_special_tokens=False).
 
-    A space before a character that isn't white space always starts a new pre-token, so text is cut there; the ids of
-    each cut are kept, up to limit, and the library's model is asked for those not yet met."""
+    The ids and the merges are the file's. A byte-level file whose ids follow its merges is the same as a table of ranks, which
+    another library reads several times as fast; any other file, and a text with a special token, goes to the tokenizers
+    library itself. Nothing of the texts is kept. A space before a character that isn't white space always starts a new
+    pre-token, so long texts are cut there into stretches of bounded length."""
 
     CUT = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.find, self.table = self.tokenizer.model, regex.compile(PRETOKEN).findall, byte_characters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cuts, self.parts = Recent(limit, self.cut), Recent(limit, self.part)
-
-    def part(self, s: str) -> bytes:
-        tokens = self.model.tokenize(s.encode().decode("latin-1").translate(self.table))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
-
-    def cut(self, s: str) -> bytes:
-        return b"".join([self.parts[x] for x in self.find(s)])
+    def __init__(self, path: str, stretch: int = 1 << 16) -> None:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path, self.stretch, self.library = path, stretch, None
+        self.special = [t["content"] for t in file.get("added_tokens", [])]
+        ranks = ranked(file)
+        self.fast = None
+        if ranks is not None:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("file", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text in parts of about `stretch` characters."""
+        at = 0
+        while len(text) > at + self.stretch and (found := self.CUT.search(text, at + self.stretch)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:]
 
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = self.CUT.split(text)
-        return b"".join([self.cut(first), *map(self.cuts.__getitem__, map(" ".__add__, rest))])
+        if self.fast is None or any(x in text for x in self.special):
+            return np.array(self.by_library(text), "<u4").tobytes()
+        return b"".join([np.array(self.fast.encode_ordinary(x), "<u4").tobytes() for x in self.stretches(text)])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary_of(path: str) -> Vocabulary:
-    """One for each worker process, which keeps what it has met from task to task."""
+    """One for each worker process: the file's tables, and nothing of the texts. A task has one core, so one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Vocabulary(path)
 
 
@@ -125,7 +137,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing: int =
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = vocabulary_of(vocabulary), closing.to_bytes(4, "little")
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = words.ids(text or "") + end

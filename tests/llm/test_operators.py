@@ -65,15 +65,10 @@ def words_of(text):
 
 
 def brute_top(vectors, k=5):
-    kept = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in kept if i % 50 == 0}):
-        found = set()
-        for i, v in kept:
-            if i == q:
-                for j, w in kept:
-                    if j != q:
-                        found.add((-sum(a * b for a, b in zip(v, w)), j))
+        found = [(-sum(a * b for a, b in zip(v, w)), j) for i, v in kept if i == q for j, w in kept if j != q]
         out += [(q, r, j, -s) for r, (s, j) in enumerate(sorted(found)[:k], 1)]
     return out
 
@@ -82,19 +77,36 @@ def brute_top(vectors, k=5):
 def test_topk(spark, n):
     rng = np.random.default_rng(n)
     rows = [(int(i), [float(x) for x in np.float32(rng.normal(0, 1, 8) * (0.1 if i % 3 else 1))]) for i in range(n)]
-    rows += [(1000 + i, rows[1][1]) for i in range(40)] + [(50, rows[2][1]), rows[0], rows[0]]
-    rows += [(7000, None), (7001, [None] * 8), (7050, [float("nan")] * 8), (7100, [float("inf")] * 8), (None, rows[0][1]), (7150, [0.5, 0.25])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as cell", "'x' as v", "'x' as norm")
-    got = [tuple(r) for r in topk.search(df, pivots=16, block_rows=32, group_rows=4).collect()]
-    brute = brute_top(rows)
-    # of an id with two vectors the better score counts, one row for each
-    def best(found):
-        seen = {}
-        for q, _, j, s in sorted(found, key=lambda x: (x[0], -x[3], x[2])):
-            seen.setdefault(q, []).append((s, j))
-        return seen
-
-    assert best(got) == best(brute)
+    rows += [(1000 + i, rows[1][1]) for i in range(40)] + [(50, rows[2][1]), rows[0], rows[0]] + [rows[-1]] * 7
+    rows += [(7000, None), (7001, [None] * 8), (7050, [float("nan")] * 8), (7100, [float("inf")] * 8), (None, rows[0][1]), (7150, [0.5, 0.25]), (7200, []), (-50, rows[2][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as cell", "'x' as v", "'x' as norm", "'x' as salt", "'x' as id")
+    for how in ({"pivots": 16, "block_rows": 32, "group_rows": 4}, {}):
+        assert sorted(tuple(r) for r in topk.search(df, **how).collect()) == sorted(brute_top(rows))
+
+
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    tables = [[(0, [9e6, 1.0]), (1, [9e6, 0.0]), (2, [1.2e7, 0.0]), (3, [8e6, 1.0])]]
+    # beyond 53 and beyond 63 bits before they cancel out
+    tables += [[(i, [float(2**e + int(x)) for x in rng.integers(0, 99, 4)] + [float(2**e if i == 0 else -(2**e))] * 4) for i in range(50)] for e in (18, 24)]
+    tables += [[(0, [2.0**40, 0.25]), (1, [0.0, 2.0**30]), (2, [2.0**-40, 3.0]), (3, [-(2.0**-8), 5.0]), (4, [0.0, 0.0]), (5, [0.0, -1e300]), (6, [1.0, 0.0])]]
+    for rows in tables:
+        want = brute_top(rows)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        for how in ({"pivots": 3, "block_rows": 8}, {}):
+            assert sorted(tuple(r) for r in topk.search(df, **how).collect()) == want
+    with pytest.raises(Exception, match="Overflow|too large|too big"):
+        topk.search(spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="isn't finite"):
+        topk.search(spark.createDataFrame([(0, [1.7e308]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_topk_scores_are_exact():
+    rng = np.random.default_rng(1)
+    for bits in (10, 24, 29, 40, 90):
+        q, x = (np.floor(rng.normal(0, 1, (n, 5)) * 2.0**bits) for n in (3, 7))
+        want = [[sum(int(a) * int(b) for a, b in zip(v, w)) for w in x] for v in q]
+        assert topk.scores(q, x).tolist() == want
 
 
 def test_topk_empty(spark):
@@ -296,18 +308,87 @@ def test_mixed_documents(docs, empty, rows):
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_text_media(docs, rows, empty):
-    got = media.text_media(docs).collect()
+def told_png(media_file):
+    """Samples and size of an 8-bit grey PNG file, by its format alone."""
+    at, body, size = 8, b"", None
+    assert media_file[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    while at < len(media_file):
+        n, kind = int.from_bytes(media_file[at : at + 4]), media_file[at + 4 : at + 8]
+        part = media_file[at + 8 : at + 8 + n]
+        assert int.from_bytes(media_file[at + 8 + n : at + 12 + n]) == zlib.crc32(kind + part)
+        if kind == b"IHDR":
+            size = int.from_bytes(part[:4]), int.from_bytes(part[4:8])
+        body += part if kind == b"IDAT" else b""
+        at += n + 12
+    raw = zlib.decompress(body)
+    assert len(raw) == size[1] * (size[0] + 1) and not any(raw[:: size[0] + 1])
+    return b"".join(raw[i + 1 : i + 1 + size[0]] for i in range(0, len(raw), size[0] + 1)), size
+
+
+def brute_feature(samples, size):
+    n, mean = len(samples), sum(samples) / len(samples)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in samples) / n)
+    return f"{size[0]}x{size[1]};mean={mean:.3f};std={spread:.3f};entropy={-sum(k / n * math.log2(k / n) for k in Counter(samples).values()) + 0.0:.3f}"
+
+
+MARKED = [(9100, "first <b>line</b> &amp; more\n\n  second   one \nthird > all\n" + "x" * 90 + "\nlast"), (9101, "\n \n"), (9102, "only </figure> & one"), (9103, "a\r\nb\x0bc\n\x00d\n\u3000\ne")]
+
+
+def test_text_media(spark, docs, rows, empty):
+    from pyspark.sql import functions as F
+
+    extra = spark.createDataFrame(MARKED, "doc_id long, text string")
+    got = media.text_media(docs.select("doc_id", "text", F.lit("x").alias("position"), F.lit("y").alias("items")).unionByName(extra, allowMissingColumns=True)).collect()
     want = Counter()
-    for r in rows:
-        b = (r[1] or "").encode()
+    for doc, text in [(r[0], r[1]) for r in rows] + MARKED:
+        b = (text or "").encode()
         p = b + bytes(-len(b) % 64 if b else 64)
         m = media.to_png(p)
-        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), media.described(media.from_png(m))] += 1
+        samples, size = told_png(m)
+        assert samples == p and size == (64, len(p) // 64)
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\s\x00-\x1f]", x, re.A)]
+        half = -(-len(lines) // 2)
+        texts = [bool(x.split()) for x in lines]  # a line of other white space is no item
+        caption = " ".join(lines[half - 1][:60].split()) if lines else ""
+        want[doc, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), brute_feature(samples, size), sum(texts) + 1, sum(texts[:half]), caption or None] += 1
     assert Counter(tuple(r) for r in got) == want
     assert media.text_media(empty).collect() == []
 
 
+def test_media_bytes_by_sql(spark, docs, rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(r[0], r[1]) for r in rows])
+    sql = """select doc_id, cast(n as bigint), cast(n + pad as bigint), sha256(p || from_hex(repeat('00', cast(pad as int))))
+      from (select *, case when n = 0 then 64 else (64 - n % 64) % 64 end as pad from (select doc_id, encode(coalesce(text, '')) as p, octet_length(encode(coalesce(text, ''))) as n from documents))"""
+    got = [tuple(r)[:4] for r in media.text_media(docs).collect()]
+    assert Counter(got) == Counter(con.execute(sql).fetchall())
+
+
+def test_clashing_page_columns(spark):
+    a = "a" * 64
+    pages = spark.createDataFrame([(1, f"t<img src='sha256:{a}'>", "x", "y", "z", 9, "w", "v")], "page_id long, html string, text string, Digest string, position string, payload_bytes int, items string, `a.b` string")
+    known = spark.createDataFrame([(a, 5)], "digest string, payload_bytes long")
+    out = media.resolve(media.interleave(pages), known).orderBy("position")
+    assert out.columns == ["page_id", "page_text", "page_Digest", "page_position", "page_payload_bytes", "a.b", "position", "kind", "text", "digest", "caption", "payload_bytes"]
+    assert [tuple(r) for r in out.collect()] == [(1, "x", "y", "z", 9, "v", 0, "text", "t", None, None, None), (1, "x", "y", "z", 9, "v", 1, "media", None, a, None, 5)]
+
+
+def test_given_pages_are_interleaved(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = media.interleave(pages).collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert len(got) == len(html) and any(len(r["items"]) > 1 for r in got)
+    for r in got:
+        assert [x.position for x in r["items"]] == list(range(len(r["items"])))
+        at, plain = 0, re.sub(r"\s+", " ", __import__("html").unescape(re.sub(r"<[^>]*>", "", html[r.page_id] or "")))
+        for x in r["items"]:  # words of the texts come in the page's order
+            for word in (x.text or "").split():
+                at = plain.index(word, at) + len(word)
+
+
 def test_interleaving(spark):
     a, b = "a" * 64, "b" * 64
     page = f'<html><head><style>x</style><title>T</title></head><body>one <b>two</b><figure><img src="sha256:{a}" alt="no"><figcaption>cap &amp; tion</figcaption></figure>three<script>if(1<2)</script><img data-digest="sha256:{b}" alt="alt"><img src="x.png">'
@@ -531,15 +612,31 @@ def test_packing(docs, rows, empty, vocabulary):
     assert packing.pack(empty, vocabulary).collect() == []
 
 
-def test_ids_are_the_librarys(vocabulary):
+def test_ids_are_the_librarys(spark, vocabulary):
     from tokenizers import Tokenizer
 
-    tokenizer, own = Tokenizer.from_file(vocabulary), packing.Vocabulary(vocabulary, limit=50)
+    tokenizer, own, whole = Tokenizer.from_file(vocabulary), packing.Vocabulary(vocabulary, stretch=3), packing.Vocabulary(vocabulary)
+    assert own.fast is not None
     rng = random.Random(8)
-    pieces = ["a", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "'s", "'", "12", "é", "\U0001f600", "word", "W.", "<|endoftext|>", "̀", "…", "​", "ª", "²", "Ⅷ", "़"]
-    for _ in range(2000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
-        assert own.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    pieces = ["a", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u2003", "\u3000", "'s", "'", "12", "é", "\U0001f600", "word", "W.", "<|endoftext|>", "\u0300", "…", "\u200b", "ª", "²", "Ⅷ", "\u093c", "\0"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += [f"a{c}a 1{c}1 .{c}. {c}" for c in map(chr, [*range(0x3000), *rng.sample(range(0x3000, 0xD800), 3000), *rng.sample(range(0xE000, 0x30000), 3000)])]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.ids(text) == want and whole.ids(text) == want, repr(text)
+
+
+def test_other_vocabularies_go_to_the_library(tmp_path, vocabulary):
+    with open(vocabulary) as f:
+        file = json.load(f)
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    from tokenizers import Tokenizer
+
+    own = packing.Vocabulary(str(tmp_path / "v.json"))
+    assert own.fast is None
+    assert own.ids("two words") == np.array(Tokenizer.from_file(str(tmp_path / "v.json")).encode("two words", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_balance():
