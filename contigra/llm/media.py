@@ -1,14 +1,17 @@
 """Media columns of interleaved documents: HTML becomes an ordered sequence of texts and media references, and a join on
 digests resolves the references in a store of payloads.
 
-interleave() keeps the order of the page: position counts texts and references alike, and a reference carries its
-caption (that of its figure, or else its alternative text), so that texts, media and captions stay aligned through the
-join. A payload is stored as an 8-bit grey image (PNG: lossless, rows of `width` samples); the store is addressed by
-the digest of the payload, so that equal payloads are equal rows, whichever task wrote them. Features are computed from
-the samples that are read back where they lie; digests and features travel, payloads don't.
+interleave() keeps the order of the page: paragraphs and other blocks are texts of their own, position counts texts and
+references alike, and a reference carries its caption (that of its figure, or else its alternative text), so that texts,
+media and captions stay aligned through the join. A payload is stored as an 8-bit grey image (PNG: lossless, rows of
+`width` samples); the store is addressed by the digest of the payload, so that equal payloads are equal rows, whichever
+task wrote them. Features are computed from the samples that are read back where they lie; digests and features travel,
+payloads don't. Only references are joined, so that texts, which have no digest, don't meet in one task.
 
 Defined results: a null html gives no items; a null text is an empty payload, which is stored as one row of zeros; a
-reference whose digest isn't in the store keeps its place with nulls; equal rows each have their sequence; an empty
+reference whose digest isn't in the store keeps its place with nulls; equal rows each have their sequence; of two
+captions of a figure both count, joined by a space; a very long text is parsed and stored whole; a page's column `items`
+gives way to the sequence, and one named like a column of the items or of the store is told as page_<name>; an empty
 table gives no rows.
 """
 
@@ -35,6 +38,9 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 DIGEST = re.compile(r"sha256:([0-9a-f]{64})")
 MEDIA = {"img", "video", "audio", "source", "embed"}
 SILENT = {"script", "style", "template", "noscript"}
+BLOCKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+#: Characters of a document's caption.
+CAPTION = 60
 ITEM = "position int, kind string, text string, digest string, caption string"
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -94,6 +100,8 @@ class _Interleaver(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
+        elif tag in BLOCKS and not self.caption:
+            self.flush()
         elif tag == "figure":
             self.flush()
             self.figures.append((len(self.items), []))
@@ -109,8 +117,12 @@ class _Interleaver(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag in BLOCKS and not self.caption:
+            self.flush()
         elif tag == "figcaption":
             self.caption = False
+            if self.figures:
+                self.figures[-1][1].append(" ")
         elif tag == "figure" and self.figures:
             self.flush()
             begin, words = self.figures.pop()
@@ -137,7 +149,7 @@ def items_of(html: str | None) -> list[dict]:
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without column html, with the items of each page in column items."""
-    rest = [c for c in pages.columns if c != html]
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "items")]
     struct_of = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +157,10 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
             for batch in slices(whole, "html"):
                 yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array([items_of(x) for x in batch.column("html").to_pylist()], struct_of)], ["rest", "items"])
 
-    rows = pages.select(F.struct(*rest).alias("rest"), F.col(html).cast("string").alias("html"))
+    rows = pages.select(F.struct(*rest, F.lit(None).cast("int").alias("items")).alias("rest"), F.col(f"`{html}`").cast("string").alias("html"))
     schema = T.StructType([rows.schema["rest"], T.StructField("items", T.ArrayType(T.StructType.fromDDL(ITEM)))])
-    return rows.mapInArrow(parsed, schema).select("rest.*", "items")
+    found = rows.mapInArrow(parsed, schema)
+    return found.select(*[found["rest"][c].alias(c) for c in pages.columns if c not in (html, "items")], "items")
 
 
 def padded(text: Column, width: int = WIDTH) -> Column:
@@ -178,7 +191,7 @@ def described(samples: np.ndarray) -> str:
     p = counts[counts > 0] / samples.size
     mean = float((counts * np.arange(256)).sum() / samples.size)
     spread = float(np.sqrt((counts * (np.arange(256) - mean) ** 2).sum() / samples.size))
-    return f"{samples.shape[1]}x{samples.shape[0]};mean={mean:.3f};std={spread:.3f};entropy={-(p * np.log2(p)).sum():.3f}"
+    return f"{samples.shape[1]}x{samples.shape[0]};mean={mean:.3f};std={spread:.3f};entropy={0.0 - (p * np.log2(p)).sum():.3f}"
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -206,19 +219,44 @@ def features(media: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, known: DataFrame) -> DataFrame:
     """A row for each item of interleave()'s rows, in place of items: position, kind, text, digest, caption, and the columns
     that `known` has by digest, null for texts and for references that it lacks."""
-    flat = sequences.select(*[c for c in sequences.columns if c != "items"], F.explode("items").alias("_item"))
-    flat = flat.select("*", "_item.*").drop("_item")
-    return flat.join(known, "digest", "left")
+    item = [f.name for f in sequences.schema["items"].dataType.elementType]
+    more = [c for c in known.columns if c != "digest"]
+    taken = {c.lower() for c in (*item, *more)}
+    own = {c: f"page_{c}" if c.lower() in taken else c for c in sequences.columns if c != "items"}
+    flat = sequences.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.explode("items").alias("_item"))
+    page = [F.col(f"`{n}`") for n in own.values()]
+    flat = flat.select(*page, *[F.col("_item")[c].alias(c) for c in item])
+    referring = flat.where("digest is not null").join(known, "digest", "left").select(*page, *item, *more)
+    return referring.unionByName(flat.where("digest is null").select("*", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in more]))
+
+
+def escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def as_page(text: Column, digest: Column) -> Column:
+    """A document's text as HTML: a paragraph for each line that isn't blank, and after the first half of them a figure that
+    refers to the payload of `digest`; its caption is the beginning of the paragraph before it."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\s\x00-\x1f]"))
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    paragraph = lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))
+    part = lambda xs: F.array_join(F.transform(xs, paragraph), "")
+    caption = F.substring(F.coalesce(F.get(lines, half - 1), F.lit("")), 1, CAPTION)
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure>"))
+    return F.concat(part(F.slice(lines, F.lit(1), half)), figure, part(F.slice(lines, half + 1, F.size(lines))))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: each document as a
-    page with its text as a media payload, stored, resolved and read back."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_items, position,
+    caption of each document: its paragraphs with its whole text between them as a media payload, which is stored, resolved
+    in its place and read back."""
     payload = padded(F.col("text"))
-    spark, path = docs.sparkSession, store(docs.select(payload.alias("payload")))
+    path = store(docs.select(payload.alias("payload")))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    digest = F.sha2(payload, 256)
-    pages = docs.select("doc_id", n.alias("n_bytes"), F.concat(F.lit('<p>text as samples</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure>")).alias("html"))
-    known = stored(features(spark.read.schema("digest string, media binary").parquet(path)), "media-features")
-    rows = resolve(interleave(pages), known).where("kind = 'media'")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    pages = docs.select("doc_id", n.alias("n_bytes"), as_page(F.col("text"), F.sha2(payload, 256)).alias("html"))
+    known = stored(features(docs.sparkSession.read.schema("digest string, media binary").parquet(path)), "media-features")
+    sequences = interleave(pages).select("doc_id", "n_bytes", F.size("items").cast("long").alias("n_items"), F.filter("items", lambda x: x["kind"] == "media").alias("items"))
+    rows = resolve(sequences, known)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption")
