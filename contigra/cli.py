@@ -20,8 +20,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("module", choices=MODULES)
     p.add_argument("output", help="folder of the results")
     for f in fields(Inputs):
-        p.add_argument(f"--{f.name.replace('_', '-')}", required=f.name not in ("integrase_hits", "trnas"), help="path")
-    p.add_argument("--models", help="package.module:name of a Models object with trained parameters")
+        p.add_argument(f"--{f.name.replace('_', '-')}", required=f.name == "contigs", help="path")
+    p.add_argument("--models", help="folder of parameter tables, or package.module:name of a Models object")
     p.add_argument("--restart", action="store_true", help="make everything anew")
     p.add_argument("--lenient-taxonomy", action="store_true")
     p.add_argument("--full-ictv-lineage", action="store_true")
@@ -53,12 +53,11 @@ def options(a: argparse.Namespace) -> Options:
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
-    trained = Models()
-    if a.models:
-        module, _, name = a.models.partition(":")
-        trained = getattr(importlib.import_module(module), name)
     spark = SparkSession.builder.appName(f"contigra {a.module}").getOrCreate()
-    log = log_to(a.log)
+    trained, (module, _, name) = Models(), (a.models or "").rpartition(":")
+    if a.models:
+        trained = getattr(importlib.import_module(module), name) if name.isidentifier() and "/" not in module else Models.load(spark, a.models)
+    log = log_to(a.log, spark)
     project = Project(spark, Inputs(**{f.name: getattr(a, f.name) for f in fields(Inputs)}), a.output, trained, options(a))
     log.info("%s begins", a.module)
     for name, df in getattr(project, a.module.replace("-", "_"))(restart=a.restart).items():

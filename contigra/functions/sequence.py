@@ -22,6 +22,11 @@ def upper(seq: Column) -> Column:
     return F.upper(seq)
 
 
+def ascii_codes(seq: Column) -> Column:
+    """The upper-case bytes as numbers."""
+    return F.transform(F.slice(F.split(F.upper(seq), ""), F.lit(1), F.length(seq)), F.ascii)
+
+
 def length(seq: Column) -> Column:
     return F.length(seq)
 
@@ -81,7 +86,8 @@ def strip_n(seq: Column) -> Column:
 
 
 def pad(seq: Column, to: int = WINDOW) -> Column:
-    return F.rpad(seq, to, "N")
+    """With N at its end up to a length; a longer sequence stays whole."""
+    return F.rpad(seq, F.greatest(F.length(seq), F.lit(to)), "N")
 
 
 def preview(seq: Column) -> Column:

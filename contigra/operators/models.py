@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,36 +134,85 @@ class Chain:
     transitions: tuple[tuple[float, float], tuple[float, float]]
 
     def marginals(self, values: dict[str, np.ndarray], n: int) -> np.ndarray:
-        """P(V) at each place, by forward and backward sums in logarithms."""
-        own, step = np.zeros((n, 2)), np.array(self.transitions, float)
-        for name, weights in self.attributes.items():
+        """P(V) at each place of one chain."""
+        return self.marginals_of(values, np.array([n]))
+
+    def marginals_of(self, values: dict[str, np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """P(V) at each place of chains that lie one after the other, by forward and backward sums in logarithms.
+
+        Chains go side by side, longest first, so that each step is one sum over all that are still under way."""
+        order = np.argsort(-lengths, kind="stable")
+        sizes, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        weights, step = np.zeros((int(lengths.sum()), 2)), np.array(self.transitions, float)
+        for name, w in self.attributes.items():
             if name in values:
-                own += np.asarray(values[name], float)[:, None] * np.array(weights)[None, :]
-        forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-        forward[0] = own[0]
-        for i in range(1, n):
-            forward[i] = own[i] + np.logaddexp.reduce(forward[i - 1][:, None] + step, axis=0)
-        for i in range(n - 2, -1, -1):
-            backward[i] = np.logaddexp.reduce(step + own[i + 1][None, :] + backward[i + 1][None, :], axis=1)
+                weights += np.asarray(values[name], float)[:, None] * np.array(w)[None, :]
+        forward, backward = np.empty_like(weights), np.zeros_like(weights)
+        longest = int(sizes[0]) if len(sizes) else 0
+        # how many chains have a place i
+        under = np.searchsorted(-sizes, -np.arange(longest), "left")
+        for i in range(longest):
+            at = begin[: under[i]] + i
+            if i:
+                into = forward[at - 1][:, :, None] + step[None]
+                forward[at] = weights[at] + np.logaddexp(into[:, 0], into[:, 1])
+            else:
+                forward[at] = weights[at]
+        for i in range(longest - 2, -1, -1):
+            at = begin[: under[i + 1]] + i
+            out = step[None] + (weights[at + 1] + backward[at + 1])[:, None, :]
+            backward[at] = np.logaddexp(out[:, :, 0], out[:, :, 1])
         joint = forward + backward
-        joint -= joint.max(axis=1, keepdims=True)
-        p = np.exp(joint)
-        return p[:, self.states.index("V")] / p.sum(axis=1)
+        v = self.states.index("V")
+        return 1 / (1 + np.exp(joint[:, 1 - v] - joint[:, v]))
+
+    def scores_of(self, values: dict[str, np.ndarray], lengths: np.ndarray, temperature: float = 0.2) -> np.ndarray:
+        """The logistic of the marginal of V less that of a chain of the same length without attributes."""
+        kinds, which = np.unique(lengths, return_inverse=True)
+        empty, at = self.marginals_of({}, kinds), np.cumsum(kinds) - kinds
+        ends = np.cumsum(lengths)
+        place = np.arange(int(lengths.sum())) + np.repeat(at[which] - (ends - lengths), lengths)
+        return 1 / (1 + np.exp(-(self.marginals_of(values, lengths) - empty[place]) / temperature))
+
+
+#: Genes whose chains are solved side by side.
+_SIDE_BY_SIDE = 1 << 17
 
 
 def gene_scores(genes: DataFrame, chain: Chain, temperature: float = 0.2) -> DataFrame:
     """genes with crf_score: the logistic of the marginal of V less that of a chain without attributes, by contig.
 
-    A contig's genes are one group: thousands at most."""
+    Contigs' genes come sorted, and many contigs are solved at once; a contig has thousands of genes at most."""
     schema = T.StructType([*genes.schema.fields, T.StructField("crf_score", T.DoubleType())])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("gene_num")
-        n = t.num_rows
-        found = chain.marginals({k: t[k].to_numpy() for k in chain.attributes}, n) - chain.marginals({}, n)
-        return t.append_column("crf_score", pa.array(1 / (1 + np.exp(-found / temperature))))
+    def scored(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        contig = rows["contig"].combine_chunks()
+        new = np.ones(len(contig), bool)
+        new[1:] = pc.invert(pc.equal(contig[1:], contig[:-1])).to_numpy(zero_copy_only=False)
+        lengths = np.diff(np.append(np.flatnonzero(new), len(contig)))
+        found = chain.scores_of({k: rows[k].to_numpy() for k in chain.attributes}, lengths, temperature)
+        yield from rows.append_column("crf_score", pa.array(found)).to_batches()
 
-    return genes.groupBy("contig").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= _SIDE_BY_SIDE:
+                # the last contig may go on in the next batch
+                rows = pa.Table.from_batches(held)
+                contig = rows["contig"].combine_chunks()
+                others = np.flatnonzero(pc.invert(pc.equal(contig, contig[-1])).to_numpy(zero_copy_only=False))
+                cut = int(others[-1]) + 1 if len(others) else 0
+                if cut:
+                    yield from scored(rows.slice(0, cut))
+                held, n = rows.slice(cut).to_batches(), rows.num_rows - cut
+        if held:
+            yield from scored(pa.Table.from_batches(held))
+
+    return genes.where("contig is not null").repartition("contig").sortWithinPartitions("contig", "gene_num").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.names import provirus_gene, provirus_name
 from ..storage import stored
 
 
@@ -172,19 +173,20 @@ def passes(edge: Column, integrase: Column, score: Column, limits: CallLimits =
 
 
 def calls(genes: DataFrame, label: str = "label", limits: CallLimits = CallLimits()) -> DataFrame:
-    """contig, p_start, p_end, n_genes, v_vs_c_score, in_seq_edge, has_integrase, integrases (their genes, `;`-joined; null if
-    none) of the runs of label 1 that are kept. Contigs with one label have none."""
+    """contig, p_start, p_end, n_genes, v_vs_c_score, in_seq_edge, has_integrase, integrases (their genes by the provirus' name,
+    `;`-joined; null if none) of the runs of label 1 that are kept. Contigs with one label have none."""
     runs = run_table(genes, label).withColumn("_runs", F.max("run").over(by_contig())).where("_runs > 1 and label = 1")
     kept = runs.where(passes(F.col("at_edge"), F.col("has_integrase"), F.col("score"), limits))
-    names = _integrase_names(genes, label)
-    out = kept.join(names, ["contig", "run"], "left")
-    return out.select("contig", F.col("run_start").alias("p_start"), F.col("run_end").alias("p_end"), "n_genes", F.col("score").alias("v_vs_c_score"), F.col("at_edge").alias("in_seq_edge"), "has_integrase", "integrases")
+    out = kept.join(_integrase_numbers(genes, label), ["contig", "run"], "left")
+    name = provirus_name(F.col("contig"), F.col("run_start"), F.col("run_end"))
+    names = F.array_join(F.transform("_l", lambda i: provirus_gene(name, i)), ";")
+    return out.select("contig", F.col("run_start").alias("p_start"), F.col("run_end").alias("p_end"), "n_genes", F.col("score").alias("v_vs_c_score"), F.col("at_edge").alias("in_seq_edge"), "has_integrase", names.alias("integrases"))
 
 
-def _integrase_names(genes: DataFrame, label: str) -> DataFrame:
+def _integrase_numbers(genes: DataFrame, label: str) -> DataFrame:
+    """contig, run and the numbers of the run's integrases, counted along the contig."""
     rows = segmented(genes, label).withColumn("_index", F.row_number().over(by_gene())).where("integrase = 1")
-    listed = rows.groupBy("contig", "run").agg(F.array_sort(F.collect_list("_index")).alias("_l"))
-    return listed.select("contig", "run", F.array_join(F.transform("_l", lambda i: F.concat(F.col("contig").cast("string"), F.lit("_"), i.cast("string"))), ";").alias("integrases"))
+    return rows.groupBy("contig", "run").agg(F.array_sort(F.collect_list("_index")).alias("_l"))
 
 
 def genes_in(genes: DataFrame, proviruses: DataFrame) -> DataFrame:

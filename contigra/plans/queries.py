@@ -41,7 +41,7 @@ def r(c: Column | str, places: int = 6) -> Column:
 
 # ---- shared parts ---------------------------------------------------------------------------------------------------
 
-GM = """gm as (
+GM = """gm as materialized (
   select g.contig, g.gene_num, g.gene_start, g.gene_end, g.gene_len, g.strand, g.rbs, g.bitscore, g.integrase, g.marker_id, m.cls,
     coalesce(m.spm_c, 0.0::double) as spm_c, coalesce(m.spm_p, 0.0::double) as spm_p, coalesce(m.spm_v, 0.0::double) as spm_v,
     coalesce(m.gv_marker, 0) as gv_marker, coalesce(m.uscg, 0) as uscg, coalesce(m.plasmid_hallmark, 0) as plasmid_hallmark, coalesce(m.virus_hallmark, 0) as virus_hallmark,
@@ -213,14 +213,15 @@ def _(v: Views) -> DataFrame:
 
 @query("src_trna", with_views("select concat('c', contig) as contig, cast(row_number() over (partition by contig order by trna_id) as int) as number, 'Ala' as amino_acid, trna_start, trna_end from trnas", "trnas"))
 def _(v: Views) -> DataFrame:
-    # a report: for each contig a header, a line of counts, and its tRNAs
-    place = lambda i: F.struct(F.col("contig"), F.lit(i).alias("part"), F.coalesce(F.col("trna_id"), F.lit(0).cast("long")).alias("id")).alias("place")
-    contigs = v.trnas.select("contig").distinct().withColumn("trna_id", F.lit(0).cast("long"))
-    head = contigs.select(F.concat(F.lit(">c"), F.col("contig").cast("string"), F.lit(" a contig")).alias("value"), place(0))
-    counts = contigs.select(F.lit("2 genes found").alias("value"), place(1))
-    found = v.trnas.select(F.concat(F.lit("1   tRNA-Ala   c["), F.col("trna_end").cast("string"), F.lit(","), F.col("trna_start").cast("string"), F.lit("]   34  (tgc)")).alias("value"), place(2))
-    plain = contigs.select(F.lit("7   tRNA-Gly   [10,82]   34  (tcc)").alias("value"), place(3))
-    return tables.trna_report(head.unionByName(counts).unionByName(found).unionByName(plain), "place")
+    from ..sinks import files
+
+    # a report: for each contig a header, a line of counts, its tRNAs, and a hit that isn't in complement; and its end
+    hit = F.concat(F.lit("1   tRNA-Ala   c["), F.col("trna_end").cast("string"), F.lit(","), F.col("trna_start").cast("string"), F.lit("]   34  (tgc)"))
+    blocks = v.trnas.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("trna_id", hit.alias("hit")))).alias("hits"))
+    lines = F.concat_ws("\n", F.concat(F.lit(">c"), F.col("contig").cast("string"), F.lit(" a contig")), F.lit("2 genes found"), F.array_join(F.col("hits.hit"), "\n"), F.lit("7   tRNA-Gly   [10,82]   34  (tcc)"))
+    report = blocks.select(lines.alias("value")).unionByName(v.spark.range(1).select(F.lit(">end\t1 sequences").alias("value")))
+    report.write.text(path := _folder(v, "trnas"))
+    return tables.trna_report(tables.trna_blocks(v.spark, path))
 
 
 @query("src_trna_tsv", with_views("select concat('c_', contig) as contig, trna_start, trna_end from trnas", "trnas"))
@@ -392,6 +393,7 @@ for _name, _spark, _duck in (
 
 seq_query("seq_rc", lambda s: F.md5(S.reverse_complement(s)), "md5(reverse(translate(seq, 'ACTGNactgn', 'TGACNtgacn')))", "rc_md5")
 seq_query("seq_upper", lambda s: F.md5(S.upper(F.lower(s))), "md5(upper(lower(seq)))", "upper_md5")
+seq_query("seq_ascii", lambda s: F.array_join(S.ascii_codes(F.lower(F.left(s, F.lit(20)))), ","), "coalesce(array_to_string([ascii(c) for c in string_split(left(seq, 20), '') if c <> ''], ','), '')", "codes")
 seq_query("seq_count", lambda s: S.count(s, "AN"), "cast((length(seq) - length(replace(seq, 'AN', ''))) / 2 as int)", "n")
 seq_query("seq_length", S.length, "cast(length(seq) as int)", "length")
 seq_query("seq_slice", lambda s: F.substr(s, F.lit(5), F.lit(20)), "substr(seq, 5, 20)", "part")
@@ -399,7 +401,7 @@ seq_query("seq_eq", lambda s: S.equal(s, F.lower(s)), "lower(seq) = lower(lower(
 seq_query("seq_hash", lambda s: S.hashed(s) == S.hashed(F.lower(s)), "true", "same")
 seq_query("seq_concat", lambda s: F.md5(S.concat(s, s)), "md5(concat(seq, seq))", "both_md5")
 seq_query("seq_strip_n", lambda s: F.md5(S.strip_n(F.concat(F.lit("nN"), s, F.lit("NNn")))), "md5(regexp_replace(concat('nN', seq, 'NNn'), '^[nN]+|[nN]+$', '', 'g'))", "stripped_md5")
-seq_query("seq_pad", lambda s: F.md5(S.pad(s)), "md5(rpad(seq, 6000, 'N'))", "padded_md5")
+seq_query("seq_pad", lambda s: F.md5(S.pad(s)), "md5(rpad(seq, cast(greatest(length(seq), 6000) as int), 'N'))", "padded_md5")
 seq_query("seq_repr", S.preview, "case when length(seq) > 40 then left(seq, 34) || '...' || right(seq, 3) else seq end", "preview")
 seq_query("fmt_wrap60", lambda s: F.md5(S.wrapped(s)), r"md5(rtrim(regexp_replace(seq, '(.{60})', '\1' || chr(10), 'g'), chr(10)))", "wrapped_md5")
 
@@ -410,9 +412,9 @@ def _(v: Views) -> DataFrame:
     return v.contigs.select("contig", S.accession(head).alias("seq_name"))
 
 
-@query("prj_excise", with_views("select contig, md5(substr(seq, 11, 90)) as part_md5 from contigs where length(seq) >= 100", "contigs"))
+@query("prj_excise", with_views("select contig, md5(substr(seq, 11, 90)) as part_md5 from contigs", "contigs"))
 def _(v: Views) -> DataFrame:
-    return v.contigs.where(F.length("seq") >= 100).select("contig", F.md5(S.part(F.col("seq"), F.lit(11), F.lit(100))).alias("part_md5"))
+    return v.contigs.select("contig", F.md5(S.part(F.col("seq"), F.lit(11), F.lit(100))).alias("part_md5"))
 
 
 WINDOWS = """st as (select contig, regexp_replace(seq, '^[nN]+|[nN]+$', '', 'g') as seq from contigs),
@@ -531,9 +533,8 @@ def _(v: Views) -> DataFrame:
     return v.branch_scores.select("contig", r(M.logistic(F.col("e0") * 20, 2)).alias("p"))
 
 
-@query("fn_exp", with_views("select contig, round(exp(e0), 6) as e, round(tanh(e1), 6) as t, round(log2(abs(e2) + 1), 6) as l from branch_scores", "branch_scores"))
-def _(v: Views) -> DataFrame:
-    return v.branch_scores.select("contig", r(F.exp("e0")).alias("e"), r(F.tanh("e1")).alias("t"), r(F.log2(F.abs("e2") + 1)).alias("l"))
+for _name, _spark, _duck in (("fn_exp", lambda: F.exp("e0"), "exp(e0)"), ("fn_tanh", lambda: F.tanh("e1"), "tanh(e1)"), ("fn_log2", lambda: F.log2(F.abs("e2") + 1), "log2(abs(e2) + 1)")):
+    query(_name, with_views(f"select contig, round({_duck}, 6) as {_name[3:]} from branch_scores", "branch_scores"))(lambda v, f=_spark, n=_name[3:]: v.branch_scores.select("contig", r(f()).alias(n)))
 
 
 def dense_sql(x: list[str], kernel, bias) -> list[str]:  # noqa: ANN001
@@ -644,12 +645,53 @@ def _(v: Views) -> DataFrame:
     return out.select("name", *[r(c).alias(c) for c in models.SCORES])
 
 
-@query("provirus_crf_scores")
-@query("ml_crf_marginal")
+def crf_sql(body: str) -> str:
+    """body over crf (contig, gene_num, crf_score): log ratios of the two states' sums run forward and backward along the genes,
+    and along chains without attributes, which depend on the place alone."""
+    (cc, cv), (vc, vv) = CHAIN.transitions
+    own = " + ".join(f"({w[1]!r} - ({w[0]!r}))::double * {k}" for k, w in CHAIN.attributes.items())
+    e = lambda x, more="": f"exp(({x!r})::double{more})"
+    on = lambda r: f"ln(({e(cv)} + {e(vv, f' + {r}')}) / ({e(cc)} + {e(vc, f' + {r}')}))"
+    back = lambda r: f"ln(({e(vc)} + {e(vv, f' + {r}')}) / ({e(cc)} + {e(cv, f' + {r}')}))"
+    return gm_sql(
+        f"""og as materialized (select contig, gene_num, row_number() over (partition by contig order by gene_num) as i, {own} as o from gm),
+on_ as materialized (select contig, max(i) as n from og group by contig),
+fw(contig, i, r) as (select contig, i, o from og where i = 1 union all select og.contig, og.i, og.o + {on('fw.r')} from fw join og on og.contig = fw.contig and og.i = fw.i + 1),
+bw(contig, i, r) as (select contig, n, 0::double from on_ union all select bw.contig, bw.i - 1, {back('(og.o + bw.r)')} from bw join og on og.contig = bw.contig and og.i = bw.i where bw.i > 1),
+ef(i, r) as (select 1::bigint, 0::double union all select i + 1, {on('r')} from ef where i < (select max(n) from on_)),
+eb(k, r) as (select 0::bigint, 0::double union all select k + 1, {back('r')} from eb where k < (select max(n) from on_)),
+crf as (select og.contig, og.gene_num, 1 / (1 + exp(-(1 / (1 + exp(-(fw.r + bw.r))) - 1 / (1 + exp(-(ef.r + eb.r)))) / 0.2::double)) as crf_score
+  from og join on_ on og.contig = on_.contig join fw on fw.contig = og.contig and fw.i = og.i join bw on bw.contig = og.contig and bw.i = og.i join ef on ef.i = og.i join eb on eb.k = on_.n - og.i),
+{body}""",
+        recursive=True,
+    )
+
+
+@query("ml_crf_marginal", crf_sql("out_ as (select contig, gene_num, round(crf_score, 6) as crf_score from crf)\nselect * from out_"))
 def _(v: Views) -> DataFrame:
     return models.gene_scores(genes_of(v).select("contig", "gene_num", "spm_c", "spm_v"), CHAIN).select("contig", "gene_num", r("crf_score").alias("crf_score"))
 
 
+@query("provirus_crf_scores", crf_sql(f"{TARGETS}\nselect contig, gene_num, round(crf_score, 6) as crf_score, cast(crf_score >= {provirus.LABEL_THRESHOLD} as int) as label from crf where contig in (select contig from targets)"))
+def _(v: Views) -> DataFrame:
+    rows = genes_of(v)
+    targets = rows.join(provirus.target_contigs(rows), "contig", "left_semi").select("contig", "gene_num", "spm_c", "spm_v")
+    labels = provirus.initial_labels(models.gene_scores(targets, CHAIN), F.col("crf_score"))
+    return labels.select("contig", "gene_num", r("crf_score").alias("crf_score"), "label")
+
+
+@query("src_models")
+def _(v: Views) -> DataFrame:
+    from ..sources import parameters
+
+    parameters.write(v.spark, TREES, path := _folder(v, "forest"))
+    out = models.forest_scores(branches_of(v), "contig", ["m0", "m1", "m2", "s0", "s1", "s2"], parameters.read(v.spark, path, "forest"))
+    return out.select("name", *[r(c).alias(c) for c in models.SCORES])
+
+
+ORACLE_SQL["src_models"] = ORACLE_SQL["ml_forest"]
+
+
 @query("ml_nn")
 def _(v: Views) -> DataFrame:
     import numpy as np
@@ -729,7 +771,7 @@ def run_stats_sql(source: str, out: str) -> str:
 def calls_sql(source: str, lim: provirus.CallLimits) -> str:
     return f"""{run_stats_sql(source, 'st')},
 called as (select contig, run, run_start as p_start, run_end as p_end, n_genes, score, at_edge, has_integrase from st where runs > 1 and label = 1 and ((at_edge and score >= {lim.edge}) or (has_integrase and score >= {lim.integrase}) or (not at_edge and not has_integrase and score >= {lim.inside}))),
-inames as (select contig, run, string_agg(contig || '_' || gene_num, ';' order by gene_num) as integrases from st_q where integrase = 1 group by contig, run)"""
+inames as (select q.contig, q.run, string_agg(q.contig || '|provirus_' || c.p_start || '_' || c.p_end || '_' || q.gene_num, ';' order by q.gene_num) as integrases from st_q q join called c on q.contig = c.contig and q.run = c.run where integrase = 1 group by q.contig, q.run)"""
 
 
 @query("win_rle_encode", gm_sql(f"{LAB},\n{runs_sql('lab', 'rr')}\nselect contig, cast(run as int) as run, max(label) as label, count(*) as n_genes from rr group by contig, run"))
@@ -819,8 +861,9 @@ def _(v: Views) -> DataFrame:
 
 # ---- taxonomy -------------------------------------------------------------------------------------------------------
 
-#: Genes with a taxon: the family of their marker, or for one in three the species that their contig's supplier names.
-TAXED = "tg as (select contig, gene_num, bitscore, case when taxid <> 1 and gene_num % 3 = 0 and contig % 2 = 0 then 100000 + contig else taxid end as taxid from gm where contig % 7 <> 0 or gene_num = 33)"
+#: Genes with a taxon: the family of their marker, or for one in three the species that their contig's supplier names. The
+#: genes of every seventh contig are contigs of their own.
+TAXED = "tg as (select case when contig % 7 = 0 then contig * 100000 + gene_num else contig end as contig, gene_num, bitscore, case when taxid <> 1 and gene_num % 3 = 0 and contig % 2 = 0 then 100000 + contig else taxid end as taxid from gm)"
 CLOSURE = "up(taxid, ancestor, steps) as (select taxid, taxid, 0 from taxa union all select up.taxid, t.parent, up.steps + 1 from up join taxa t on up.ancestor = t.taxid where t.parent <> t.taxid), cl as (select up.taxid, up.ancestor, max(steps) over (partition by up.taxid) - steps as depth, t.rank, t.name from up join taxa t on up.ancestor = t.taxid)"
 VOTES = """w as (select contig, sum(bitscore) as whole, count(*) as n, min(taxid) as only_one from tg where taxid <> 1 group by contig),
 vt as (select g.contig, c.ancestor, c.depth, sum(g.bitscore) as weight from tg g join cl c on g.taxid = c.taxid where g.taxid <> 1 group by 1, 2, 3),
@@ -836,8 +879,8 @@ def tax_sql(body: str) -> str:
 def taxed(v: Views) -> DataFrame:
     hits = annotate.with_hits(v.genes.select("contig", "gene_num"), hits_of(v), ["contig", "gene_num"])
     species = (F.col("taxid") != 1) & (F.col("gene_num") % 3 == 0) & (F.col("contig") % 2 == 0)
-    rows = hits.where((F.col("contig") % 7 != 0) | (F.col("gene_num") == 33))
-    return rows.select("contig", "gene_num", "bitscore", F.when(species, 100000 + F.col("contig")).otherwise(F.col("taxid")).cast("int").alias("taxid"))
+    contig = F.when(F.col("contig") % 7 == 0, F.col("contig") * 100000 + F.col("gene_num")).otherwise(F.col("contig")).alias("contig")
+    return hits.select(contig, "gene_num", "bitscore", F.when(species, 100000 + F.col("contig")).otherwise(F.col("taxid")).cast("int").alias("taxid"))
 
 
 @query("flt_taxid", tax_sql("select contig, gene_num, cast(taxid as int) as taxid from tg where taxid <> 1"))
@@ -1103,12 +1146,13 @@ def _(v: Views) -> DataFrame:
     return there_and_back(v, rows, tables.TAXONOMY, 4).drop("agreement")
 
 
-@query("snk_summary", ORACLE_SQL["virus_report"])
+@query("snk_summary", ORACLE_SQL["virus_report"].replace(", 6) as ", ", 4) as ").replace("select fl.name as seq_name, length, topology, coordinates, n_genes,", "select fl.name as seq_name, cast(length as int) as length, topology, coordinates, cast(n_genes as int) as n_genes,").replace("n_virus_hallmarks as n_hallmarks", "cast(n_virus_hallmarks as int) as n_hallmarks"))
 def _(v: Views) -> DataFrame:
     from ..sinks import files
 
-    files.parquet(virus_rows(v), path := _folder(v, "summary"))
-    return v.spark.read.parquet(path)
+    rows = select.virus_report(select.flag_sequences(candidates_of(v), select.VIRUS, FILTERS), dims_of(v), lineages_of(v))
+    files.tsv(rows, path := _folder(v, "summary"), order=[F.desc("virus_score"), "seq_name"], one_file=True)
+    return tables.tsv(v.spark, path, tables.VIRUS_SUMMARY).withColumn("genetic_code", F.col("genetic_code").cast("string"))
 
 
 @query("snk_features", FEATURES_SQL)
@@ -1141,6 +1185,17 @@ def _(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(told["module"], told["input"], same, other)], "module string, input string, same boolean, other boolean")
 
 
+@query("snk_log", "select * from (values (1, 'annotate begins'), (2, 'genes: 12 rows'), (3, 'annotate ends')) t(line, message)")
+def _(v: Views) -> DataFrame:
+    from ..sinks import files
+
+    log = files.log_to(path := _folder(v, "log") + ".txt", v.spark, console=False)
+    for message in ("annotate begins", "genes: 12 rows", "annotate ends"):
+        log.info(message)
+    told_ = (files.read_text(v.spark, path) or "").splitlines()
+    return v.spark.createDataFrame([(i, x.partition("] ")[2]) for i, x in enumerate(told_, 1)], "line int, message string")
+
+
 @query("src_db_version", "select 1.9::double as version")
 def _(v: Views) -> DataFrame:
     from ..sinks import files

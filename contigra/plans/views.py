@@ -43,8 +43,8 @@ from (select contig, gene_num, gene_len, strand, rbs, bitscore, pk, pk-pk%9 as b
   case when l_orderkey%40=7 then 1 else 0 end as integrase from {lineitem}) a) b
 """
 TRNAS = """
-select o_custkey%10 as contig, cast(floor(o_totalprice) as bigint)+1 as trna_start, cast(floor(o_totalprice) as bigint)+76 as trna_end, o_orderkey as trna_id
-from {orders} where o_orderkey%5=0
+select 1+o_custkey%(select count(*) from {supplier}) as contig, cast(floor(o_totalprice) as bigint)+1 as trna_start, cast(floor(o_totalprice) as bigint)+76 as trna_end, o_orderkey as trna_id
+from {orders}
 """
 CONTIGS = "select doc_id as contig, {dna} as seq from {documents}"
 TAXA = """
@@ -95,7 +95,7 @@ def duck(view: str) -> str:
 
 def with_views(body: str, *views: str, recursive: bool = False) -> str:
     """body after the views that it names; it begins with `select`, or with further parts `name as (...)` and then `select`."""
-    head = ",\n".join(f"{v} as ({duck(v)})" for v in views)
+    head = ",\n".join(f"{v} as materialized ({duck(v)})" for v in views)
     rest = body.strip()
     joint = "\n" if rest.startswith(("select", "from")) else ",\n"
     return f"with {'recursive ' * recursive}{head}{joint}{rest}"

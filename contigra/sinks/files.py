@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import sequence as S
 from ..functions.numeric import fixed
 
@@ -38,6 +39,15 @@ def tsv(df: DataFrame, path: str, order: Sequence[str | Column] = (), places: di
     text_of(rows, places).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
+def gene_table(genes: DataFrame) -> DataFrame:
+    """The twenty columns of a genes table, of annotated genes; one that has them already stays as it is."""
+    if "gene" in genes.columns:
+        return genes
+    renamed = {"gene_start": "start", "gene_end": "end", "gene_len": "length", "strand": "strand", "gc": "gc_content", "genetic_code": "genetic_code", "rbs": "rbs_motif", "marker_id": "marker"}
+    same = ("evalue", "bitscore", "uscg", "plasmid_hallmark", "virus_hallmark", "taxid", "taxname")
+    return genes.select(N.provirus_gene(F.col("contig").cast("string"), F.col("gene_num")).alias("gene"), *[F.col(a).alias(b) for a, b in renamed.items()], *same, *[F.col(c).alias(f"annotation_{c}") for c in ("conjscan", "amr", "accessions", "description")])
+
+
 def fasta_lines(seqs: DataFrame, width: int = 60) -> DataFrame:
     """value: the record of each row (header, seq), wrapped."""
     return seqs.select(F.concat(F.lit(">"), F.col("header"), F.lit("\n"), S.wrapped(F.col("seq"), width)).alias("value"))
@@ -87,11 +97,26 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def log_to(path: str | None, name: str = "contigra") -> logging.Logger:
-    """A log on the console and, with a path, in a file."""
+class SharedLog(logging.Handler):
+    """A log file wherever Hadoop's file systems reach. These can't append, so it is written anew; a run logs dozens of lines."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__()
+        self.spark, self.path, self.lines = spark, path, []
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.lines.append(self.format(record))
+        write_text(self.spark, self.path, "\n".join(self.lines) + "\n")
+
+
+def log_to(path: str | None, spark: SparkSession | None = None, name: str = "contigra", console: bool = True) -> logging.Logger:
+    """A log on the console and, with a path, in a file: one of a shared file system with a session, else a local one."""
     log = logging.getLogger(name)
     log.setLevel(logging.INFO)
-    kinds = [logging.StreamHandler(), *([logging.FileHandler(Path(path))] if path else [])]
+    log.propagate = False
+    kinds: list[logging.Handler] = [logging.StreamHandler()] if console else []
+    if path:
+        kinds.append(SharedLog(spark, path) if spark else logging.FileHandler(Path(path)))
     log.handlers = kinds
     for h in kinds:
         h.setFormatter(logging.Formatter("[%(asctime)s] %(message)s", "%H:%M:%S"))

@@ -26,6 +26,8 @@ GENES = schema(
 )
 TAXONOMY = schema("seq_name string, n_genes_with_taxonomy int, agreement double, taxid int, lineage string")
 PROVIRUS = schema("seq_name string, source_seq string, start int, end int, length int, n_genes int, v_vs_c_score double, in_seq_edge boolean, integrases string")
+VIRUS_SUMMARY = schema("seq_name string, length int, topology string, coordinates string, n_genes int, genetic_code int, virus_score double, fdr double, n_hallmarks int, marker_enrichment double, taxonomy string")
+PLASMID_SUMMARY = schema("seq_name string, length int, topology string, n_genes int, genetic_code int, plasmid_score double, fdr double, n_hallmarks int, marker_enrichment double, conjugation_genes string, amr_genes string")
 SCORES = schema("seq_name string, chromosome_score double, plasmid_score double, virus_score double")
 TRNA = schema("name string, trna_start long, trna_end long")
 
@@ -76,15 +78,20 @@ def rbs_categories(rows: DataFrame) -> DataFrame:
     return rows.select(F.get(F.split("value", "\t"), F.lit(0)).alias("motif"), F.trim(F.get(F.split("value", "\t"), F.lit(1))).alias("category"))
 
 
-#: How a gene finder writes a protein's header: a fixed format.
-HEADER = r"^(.+)_(.+) # ([0-9]+) # ([0-9]+) # (-1|1) .+rbs_motif=(.+?);.+;genetic_code=(.+?);gc_cont=(.+)"
-
-
 def gene_headers(rows: DataFrame, header: str = "value") -> DataFrame:
-    """contig, gene_num, gene_start, gene_end, strand, rbs, genetic_code, gc of protein headers."""
-    names = ("contig", "gene_num", "gene_start", "gene_end", "strand", "rbs", "genetic_code", "gc")
-    kinds = ("string", "int", "long", "long", "int", "string", "int", "double")
-    return rows.select(*[F.regexp_extract(header, HEADER, i).cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True), 1)])
+    """contig, gene_num, gene_start, gene_end, strand, rbs, genetic_code, gc of protein headers: five fields with ` # ` between
+    them, of which the last has `key=value` pairs. A header without these stops the query."""
+    fields = F.split(header, " # ", -1)
+    malformed = F.raise_error(F.concat(F.lit("not a gene finder's header: "), F.col(header)))
+    rows = rows.select(F.when(F.size(fields) < 5, malformed.cast("array<string>")).otherwise(fields).alias("_f"))
+    at = lambda i: F.element_at("_f", i)
+    pairs = F.map_from_entries(F.transform(F.filter(F.split(at(-1), ";"), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v"))))
+    rows = rows.withColumns({"_pairs": pairs, "_name": at(-5)})
+    of = lambda key, kind: F.try_element_at("_pairs", F.lit(key)).cast(kind)
+    return rows.select(
+        N.contig_of_gene(F.col("_name")).alias("contig"), N.number_of_gene(F.col("_name")).alias("gene_num"), at(-4).cast("long").alias("gene_start"), at(-3).cast("long").alias("gene_end"), at(-2).cast("int").alias("strand"),
+        of("rbs_motif", "string").alias("rbs"), of("genetic_code", "int").alias("genetic_code"), of("gc_cont", "double").alias("gc"),
+    )
 
 
 def hits(rows: DataFrame, with_taxid: bool = True) -> DataFrame:
@@ -104,19 +111,31 @@ def hit_names(rows: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract(field(left=0), r"^\s*(\S*)", 1).alias("gene")).distinct()
 
 
-def trna_report(rows: DataFrame, place: str, complement_only: bool = True) -> DataFrame:
-    """contig, number (from 1 in each contig), amino_acid, trna_start, trna_end of a report's lines in the order of column
-    place. complement_only: only hits written c[a,b] count, as the format's reader does."""
-    header = F.col("value").startswith(">") & ~F.col("value").startswith(">end")
-    contig = F.when(header, F.regexp_extract("value", r"^>\s*(\S+)", 1))
-    mark = r"[0-9]+\s+?tRNA-(\S+)\s+?c\[([0-9]+),([0-9]+)\].+" if complement_only else r"[0-9]+\s+?tRNA-(\S+)\s+?c?\[([0-9]+),([0-9]+)\].+"
-    order = W.orderBy(place)
-    open_ = F.max(F.when(F.col("value").startswith(">end"), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)) == 0
-    named = rows.withColumn("contig", F.last(contig, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_open", open_)
-    found = named.where(F.col("_open") & F.col("contig").isNotNull() & F.col("value").rlike(mark) & ~F.col("value").startswith(">"))
-    ends = F.sort_array(F.array(*[F.regexp_extract("value", mark, i).cast("long") for i in (2, 3)]))
-    number = F.row_number().over(W.partitionBy("contig").orderBy(place))
-    return found.select("contig", number.alias("number"), F.regexp_extract("value", mark, 1).alias("amino_acid"), ends[0].alias("trna_start"), ends[1].alias("trna_end"))
+def trna_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """value: the blocks of a tRNA report, each a contig's header and lines, read in parts."""
+    return spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+
+
+def trna_report(blocks: DataFrame, complement_only: bool = True) -> DataFrame:
+    """contig, number (from 1 in each block), amino_acid, trna_start, trna_end of a report's blocks: a header, a line of counts,
+    and a line for each hit: its number, `tRNA-` and an amino acid, and `[a,b]`, with a `c` before it in complement.
+    complement_only: only those count, as the format's reader does. A block that begins with `end` closes the report."""
+    lines = F.split("value", "\\r?\\n")
+    parts = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda x: F.split(F.trim(x), "\\s+"))
+    place = lambda x: F.get(x, F.lit(2))
+    opening = "c[" if complement_only else "["
+
+    def is_hit(x: Column) -> Column:
+        bracket = place(x).startswith(opening) | (F.lit(not complement_only) & place(x).startswith("c["))
+        return (F.size(x) > 3) & F.get(x, F.lit(0)).rlike("^[0-9]+$") & F.get(x, F.lit(1)).rlike("^tRNA-.") & bracket & place(x).endswith("]")
+
+    def told(x: Column) -> Column:
+        ends = F.sort_array(F.transform(F.split(F.translate(place(x), "c[]", ""), ","), lambda e: e.try_cast("long")))
+        return F.struct(F.substring_index(F.get(x, F.lit(1)), "tRNA-", -1).alias("amino_acid"), ends.alias("ends"))
+
+    found = F.filter(F.transform(F.filter(parts, is_hit), told), lambda h: (F.size(h["ends"]) == 2) & h["ends"][0].isNotNull())
+    rows = blocks.where(~F.col("value").startswith("end")).select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("contig"), F.posexplode(found).alias("_at", "_hit"))
+    return rows.select("contig", (F.col("_at") + 1).alias("number"), "_hit.amino_acid", F.col("_hit.ends")[0].alias("trna_start"), F.col("_hit.ends")[1].alias("trna_end"))
 
 
 def trna_name(contig: Column, number: Column, amino_acid: Column) -> Column:

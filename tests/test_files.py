@@ -138,7 +138,16 @@ def test_hits(spark):
     assert [(r.gene, r.marker_id, r.taxid) for r in got] == [("c_1", "m2", 5)]
 
 
-def test_end_to_end(spark, tmp_path):
+def written(spark, folder, kind):
+    """Records of FASTA files, or rows of tables, that a step wrote for readers."""
+    if kind == "fasta":
+        return {r.header: r.seq for r in fasta.read(spark, folder).collect()}
+    return tables.tsv(spark, folder, kind).collect()
+
+
+@pytest.fixture()
+def inputs(tmp_path):
+    """Files of a virus (v1) and of a chromosome with a provirus in genes 20 to 35 (c1)."""
     rng = np.random.default_rng(4)
     seq = lambda n: "".join(rng.choice(list("ACGT"), n))
     contigs = {"v1": seq(9000), "c1": seq(60_000)}
@@ -146,26 +155,216 @@ def test_end_to_end(spark, tmp_path):
     for name, n, kind in (("v1", 8, "V"), ("c1", 55, "C")):
         for i in range(1, n + 1):
             k = "V" if kind == "V" or 20 <= i <= 35 else "C"
-            genes.append(f">{name}_{i} # {(i - 1) * 1000 + 1} # {(i - 1) * 1000 + 900} # 1 # ID=1_{i};partial=00;start_type=ATG;rbs_motif=AGGA;rbs_spacer=5;genetic_code=11;gc_cont=0.5\nMK")
+            genes.append(f">{name}_{i} # {(i - 1) * 1000 + 1} # {(i - 1) * 1000 + 900} # 1 # ID=1_{i};partial=00;start_type=ATG;rbs_motif=AGGA;rbs_spacer=5;genetic_code=11;gc_cont=0.5\nMK{'A' * i}")
             hits.append(f"{name}_{i} # 1\tM{k}\t1e-20\t{50 + i}\t{2 if k == 'V' else 0}")
     marker = lambda m, c, s: f"{m}\tx\t{c}\tx\t{s}\t0\tx\tNA\t0\t{int(c == 'VV')}\tNA\tNA\tNA\tnote\tx\tx"
-    files = {
+    found = {
         "contigs": "".join(f">{k} text\n{v}\n" for k, v in contigs.items()), "proteins": "\n".join(genes) + "\n", "hits": "\n".join(hits) + "\n",
         "markers": marker("MV", "VV", "0.01\t0.05\t0.95") + "\n" + marker("MC", "CC", "0.95\t0.05\t0.01") + "\n", "rbs": "AGGA\tSD_Canonical\n",
         "nodes": "1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\trealm\t|\n", "names": "1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tR\t|\t\t|\tscientific name\t|\n",
+        "trnas": ">v1 text\n0 genes found\n>c1 text\n2 genes found\n1   tRNA-Ala   c[37970,37900]   34  (tgc)\n2   tRNA-Gly   [36000,36070]   34  (tcc)\n>end\t2 sequences\n",
+        "integrase_hits": "c1_21 # 1\tI1\t1e-9\t80\n",
     }
-    for name, text in files.items():
+    for name, text in found.items():
         (tmp_path / name).write_text(text)
-    index = FEATURES.index("v_marker_freq")
-    forest = models.Forest([(2, [(index, 0.5, 1, 2, 0.0), (-1, 0, 0, 0, -3.0), (-1, 0, 0, 0, 4.0)])])
-    chain = models.Chain(("C", "V"), {"spm_c": (3.0, -3.0), "spm_v": (-3.0, 3.0)}, ((1.0, -1.0), (-1.0, 1.0)))
-    inputs = Inputs(**{k: f"file://{tmp_path}/{k}" for k in files})
-    project = Project(spark, inputs, f"file://{tmp_path}/out", Models(chain=chain, forest=forest), Options(filters=select.Filters(max_fdr=None)))
-    found = project.end_to_end()
+    return Inputs(**{k: f"file://{tmp_path}/{k}" for k in found}), contigs
+
+
+FOREST_FEATURE = FEATURES.index("v_marker_freq")
+FOREST = models.Forest([(2, [(FOREST_FEATURE, 0.5, 1, 2, 0.0), (-1, 0, 0, 0, -3.0), (-1, 0, 0, 0, 4.0)])])
+CHAIN = models.Chain(("C", "V"), {"spm_c": (3.0, -3.0), "spm_v": (-3.0, 3.0)}, ((1.0, -1.0), (-1.0, 1.0)))
+NO_FDR = Options(filters=select.Filters(max_fdr=None))
+
+
+def test_end_to_end(spark, tmp_path, inputs):
+    from dataclasses import replace
+
+    given, contigs = inputs
+    given = replace(given, trnas=None)
+    out = f"file://{tmp_path}/out"
+    found = Project(spark, given, out, Models(chain=CHAIN, forest=FOREST), NO_FDR).end_to_end()
     viruses = {r.seq_name: r for r in found["virus_summary"].collect()}
-    assert set(viruses) == {"v1", "c1|provirus_19001_34900"}
-    p = viruses["c1|provirus_19001_34900"]
-    assert (p.topology, p.coordinates, p.n_genes, p.length, p.taxonomy) == ("Provirus", "19001-34900", 16, 15900, "Unclassified")
+    name = "c1|provirus_19001_34900"
+    assert set(viruses) == {"v1", name}
+    p = viruses[name]
+    assert (p.topology, p.coordinates, p.n_genes, p.length, p.taxonomy) == ("Provirus", "19001-34900", 16, 15900, "Viruses;R;;;;;")
     assert viruses["v1"].taxonomy == "Viruses;R;;;;;" and found["plasmid_summary"].count() == 0
-    again = Project(spark, inputs, f"file://{tmp_path}/out", Models(chain=chain, forest=forest), Options(filters=select.Filters(max_fdr=None))).end_to_end()
-    assert again["virus_summary"].count() == 2
+    # what readers get: sequences, proteins and genes of proviruses
+    at = f"{out}/find_proviruses"
+    assert written(spark, f"{at}/provirus.fna", "fasta") == {name: contigs["c1"][19000:34900]}
+    proteins = written(spark, f"{at}/provirus.faa", "fasta")
+    assert len(proteins) == 16 and proteins[f"{name}_20 # 19001 # 19900 # 1 # ID=1_20;partial=00;start_type=ATG;rbs_motif=AGGA;rbs_spacer=5;genetic_code=11;gc_cont=0.5"] == "MK" + "A" * 20
+    genes = written(spark, f"{at}/provirus_genes.tsv", tables.GENES)
+    assert sorted(r.gene for r in genes) == sorted(f"{name}_{i}" for i in range(20, 36)) and all((r.length, r.marker, r.taxname, r.virus_hallmark, r.rbs_motif, r.gc_content) == (900, "MV", "R", 1, "AGGA", 0.5) for r in genes)
+    [call] = written(spark, f"{at}/provirus.tsv", tables.PROVIRUS)
+    assert (call.seq_name, call.source_seq, call.start, call.end, call.n_genes, call.integrases) == (name, "c1", 19001, 34900, 16, f"{name}_21")
+    [lineage] = written(spark, f"{at}/provirus_taxonomy.tsv", tables.TAXONOMY)
+    assert (lineage.seq_name, lineage.n_genes_with_taxonomy, lineage.lineage) == (name, 16, "Viruses;R;;;;;")
+    # and of what is chosen
+    at = f"{out}/summary"
+    assert {k.split()[0] for k in written(spark, f"{at}/virus.fna", "fasta")} == {"v1", name} and written(spark, f"{at}/plasmid.fna", "fasta") == {}
+    assert {k.split()[0] for k in written(spark, f"{at}/virus.faa", "fasta")} == {f"v1_{i}" for i in range(1, 9)} | {f"{name}_{i}" for i in range(20, 36)}
+    assert {r.gene for r in written(spark, f"{at}/virus_genes.tsv", tables.GENES)} == {f"v1_{i}" for i in range(1, 9)} | {f"{name}_{i}" for i in range(20, 36)}
+    assert written(spark, f"{at}/plasmid.faa", "fasta") == {} and written(spark, f"{at}/plasmid_genes.tsv", tables.GENES) == []
+    told = {r.seq_name: r for r in written(spark, f"{at}/virus_summary.tsv", tables.VIRUS_SUMMARY)}
+    assert told[name].virus_score == round(p.virus_score, 4) and told[name].taxonomy == "Viruses;R;;;;;"
+
+
+def test_steps_see_all_they_read(spark, tmp_path, inputs):
+    given, _ = inputs
+    out = f"file://{tmp_path}/out"
+    run = lambda forest=FOREST, chain=CHAIN: Project(spark, given, out, Models(chain=chain, forest=forest), NO_FDR)
+    manifests = lambda: {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("*/manifest.json")}
+    provirus_of = lambda p: p.find_proviruses()["provirus"].select("start", "end").collect()
+    first = run().end_to_end()["virus_summary"].collect()
+    assert [tuple(r) for r in provirus_of(run())] == [(19001, 34900)]
+    before = manifests()
+    assert run().end_to_end()["virus_summary"].collect() == first and manifests() == before
+    # another forest: what comes of it is new, what comes before it is not
+    other = models.Forest([(2, [(FOREST_FEATURE, 0.5, 1, 2, 0.0), (-1, 0, 0, 0, -3.0), (-1, 0, 0, 0, 3.5)])])
+    second = run(other).end_to_end()["virus_summary"].collect()
+    assert max(r.virus_score for r in second) < max(r.virus_score for r in first)
+    changed = {k for k, v in manifests().items() if v != before[k]}
+    assert changed == {"marker_classification", "summary"}
+    # another chain, tRNA, and hit
+    assert run(chain=models.Chain(("C", "V"), {"spm_c": (-3.0, 3.0), "spm_v": (3.0, -3.0)}, CHAIN.transitions)).find_proviruses()["provirus"].count() == 0
+    run().find_proviruses()
+    before = manifests()
+    (tmp_path / "trnas").write_text(">c1 text\n0 genes found\n>end\n")
+    assert [tuple(r) for r in provirus_of(run())] == [(19001, 34900)]
+    assert {k for k, v in manifests().items() if v != before[k]} == {"find_proviruses"}
+    hits = (tmp_path / "hits").read_text()
+    (tmp_path / "hits").write_text(hits.replace("v1_3 # 1\tMV\t1e-20", "v1_3 # 1\tMC\t1e-20"))
+    genes = {(r.contig, r.gene_num): r.marker_id for r in run().annotate()["genes"].collect()}
+    assert genes["v1", 3] == "MC"
+
+
+def test_sequences_alone(spark, tmp_path, inputs):
+    given, _ = inputs
+
+    def flat_network(tokens):
+        x = (tokens % 2).mean(axis=1)
+        return np.stack([1 - x, x * 0, x], axis=1)
+
+    options = Options(filters=select.Filters(min_score=0.0, max_fdr=None))
+    out = f"file://{tmp_path}/nn"
+    found = Project(spark, Inputs(contigs=given.contigs), out, Models(network=flat_network), options).end_to_end()
+    assert set(found) == {"plasmid_summary", "virus_summary"}
+    rows = found["virus_summary"].collect()
+    scores = spark.read.parquet(f"{out}/nn_classification/scores.parquet").collect()
+    assert {r.seq_name for r in rows} == {r["name"] for r in scores if r.virus_score > r.chromosome_score} and len(scores) == 2
+    assert all(r.taxonomy is None and r.n_genes is None for r in rows)
+    with pytest.raises(ValueError, match="annotation takes"):
+        Project(spark, Inputs(contigs=given.contigs, hits=given.hits), out).annotate()
+
+
+def test_models_as_tables(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    net = models.Network(rng.random((2, 257, 3)), [rng.random((2, 3, 3))], rng.integers(0, 9, (5, 4)), [rng.random((5, 4, 3))] * 2, [rng.random(5)] * 2, rng.random((10, 4)), rng.random((3, 3)), [(rng.random((3, 4)), rng.random(4), rng.random(4), rng.random(4)), (rng.random((4, 4)), rng.random(4), rng.random(4), rng.random(4))], (rng.random((4, 3)), rng.random(3)), pool=2)
+    whole = Models(chain=CHAIN, forest=FOREST, network=net, attention=models.Attention((1.0,) * 6, (0.5,) * 6, ((1.0, 0.0, 0.5),) * 3, (0.0, 1.0, 2.0)), perceptron=models.Perceptron([(((0.5, 0.25),) * 6, (0.0, 1.0)), (((1.0, 2.0, 3.0),) * 2, (0.0, 0.0, 1.0))]))
+    whole.save(spark, folder := f"file://{tmp_path}/models")
+    back = Models.load(spark, folder)
+    tokens = rng.integers(0, 257, (3, 9))
+    assert np.array_equal(back.network(tokens), net(tokens)) and back.chain == CHAIN
+    x = rng.random((20, len(FEATURES)))
+    assert np.array_equal(back.forest.margins(x), FOREST.margins(x))
+    assert [np.array(k).tolist() for layer in back.perceptron.layers for k in layer] == [np.array(k).tolist() for layer in whole.perceptron.layers for k in layer]
+    assert [np.array(getattr(back.attention, f)).tolist() for f in ("slope", "constant", "kernel", "bias", "temperature")] == [np.array(getattr(whole.attention, f)).tolist() for f in ("slope", "constant", "kernel", "bias", "temperature")]
+    assert Models.load(spark, f"file://{tmp_path}/none") == Models()
+
+
+def test_forest_of_json():
+    import json
+
+    from contigra.sources.parameters import forest_of_json
+
+    tree = {"left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [1, 0, 0, 0, 0], "split_conditions": [0.5, 0.1, 0.25, -0.2, 0.4]}
+    text = json.dumps({"learner": {"gradient_booster": {"model": {"tree_info": [0, 2], "trees": [tree, tree]}}}})
+    forest = forest_of_json(text)
+    assert forest.margins(np.array([[0.0, 0.4], [0.2, 0.5], [0.3, 0.9]])).tolist() == [[0.1, 0, 0.1], [-0.2, 0, -0.2], [0.4, 0, 0.4]]
+
+
+def plain_network(net, tokens):
+    """A network place by place, without array arithmetic."""
+    leak = lambda v: v if v > 0 else net.leak * v
+    out = []
+    for row in tokens.tolist():
+        n, f = len(row), net.embedding.shape[2]
+        levels, kernel = [], len(net.embedding)
+        levels.append([[leak(sum(net.embedding[j][row[i - (kernel - 1 - j)]][c] for j in range(kernel) if i - (kernel - 1 - j) >= 0)) for c in range(f)] for i in range(n)])
+        for k in net.stack:
+            x = levels[-1]
+            levels.append([[leak(sum(x[i - (len(k) - 1 - j)][a] * k[j][a][c] for j in range(len(k)) if i - (len(k) - 1 - j) >= 0 for a in range(f))) for c in range(f)] for i in range(n)])
+        patches = [sum(level[net.patches[p][q]][c] * w[p][q][c] for q in range(4) for c in range(f)) + b[p] for level, w, b in zip((levels[0], levels[-1]), net.patch_weights, net.patch_bias) for p in range(len(net.patches))]
+        values = [[sum(levels[-1][i][a] * net.values[a][c] for a in range(f)) for c in range(net.values.shape[1])] for i in range(n)]
+        pooled = [[max(values[g * net.pool + i][c] for i in range(net.pool)) for c in range(net.values.shape[1])] for g in range(n // net.pool)]
+        z = [sum(patches[p] * net.query[p][g] for p in range(len(patches))) for g in range(len(pooled))]
+        e = [np.exp(v - max(z)) for v in z]
+        h = [sum(e[g] / sum(e) * pooled[g][c] for g in range(len(pooled))) for c in range(net.values.shape[1])]
+        for kernel_, bias, scale, shift in net.head:
+            h = [max(0.0, (sum(h[a] * kernel_[a][c] for a in range(len(h))) + bias[c]) * scale[c] + shift[c]) for c in range(kernel_.shape[1])]
+        z = [sum(h[a] * net.out[0][a][c] for a in range(len(h))) + net.out[1][c] for c in range(len(net.out[1]))]
+        e = [np.exp(v - max(z)) for v in z]
+        out.append([v / sum(e) for v in e])
+    return np.array(out)
+
+
+def test_network_place_by_place(spark):
+    rng = np.random.default_rng(9)
+    net = models.Network(rng.normal(0, 0.5, (3, 257, 4)), [rng.normal(0, 0.5, (2, 4, 4)) for _ in range(2)], rng.integers(0, 26, (6, 4)), [rng.normal(0, 0.5, (6, 4, 4)) for _ in range(2)], [rng.normal(0, 0.5, 6) for _ in range(2)], rng.normal(0, 0.5, (12, 6)), rng.normal(0, 0.5, (4, 5)), [(rng.normal(0, 1, (5, 7)), rng.normal(0, 1, 7), rng.normal(1, 0.1, 7), rng.normal(0, 0.1, 7))], (rng.normal(0, 1, (7, 3)), rng.normal(0, 1, 3)), pool=4)
+    tokens = rng.integers(0, 257, (5, 26))
+    assert np.allclose(net(tokens), plain_network(net, tokens))
+    rows = spark.createDataFrame([("a" if i < 3 else "b", i, [int(x) for x in t]) for i, t in enumerate(tokens)], "contig string, n int, tokens array<int>")
+    got = {r.contig: [r[c] for c in models.SCORES] for r in models.contig_scores(models.window_scores(rows, net, batch=2)).collect()}
+    want = plain_network(net, tokens)
+    assert np.allclose(got["a"], want[:3].mean(axis=0)) and np.allclose(got["b"], want[3:].mean(axis=0))
+
+
+def test_chains_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 7, 3, 7, 1, 20, 2])
+    values = {k: rng.random(lengths.sum()) for k in CHAIN.attributes}
+    want, at = [], 0
+    for n in lengths.tolist():
+        part = {k: v[at : at + n] for k, v in values.items()}
+        want += (1 / (1 + np.exp(-(CHAIN.marginals(part, n) - CHAIN.marginals({}, n)) / 0.2))).tolist()
+        at += n
+    assert np.allclose(CHAIN.scores_of(values, lengths), want)
+    names = [f"c{i}" for i, n in enumerate(lengths.tolist()) for _ in range(n)]
+    places = [j for n in lengths.tolist() for j in range(n)]
+    rows = list(zip(names, places, *(values[k].tolist() for k in ("spm_c", "spm_v"))))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(str(a), int(b), float(c), float(d)) for a, b, c, d in rows], "contig string, gene_num int, spm_c double, spm_v double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for side in (6, 1 << 17):
+            monkeypatch.setattr(models, "_SIDE_BY_SIDE", side)
+            got = {(r.contig, r.gene_num): r.crf_score for r in models.gene_scores(df, CHAIN).collect()}
+            assert np.allclose([got[k] for k in zip(names, places)], want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_gene_headers(spark):
+    lines = spark.createDataFrame([("a_b_12 # 5 # 90 # -1 # ID=1_1;partial=00;start_type=ATG;rbs_motif=GGA/GAG/AGG;rbs_spacer=5-10bp;genetic_code=4;gc_cont=0.512",)], "value string")
+    assert [tuple(r) for r in tables.gene_headers(lines).collect()] == [("a_b", 12, 5, 90, -1, "GGA/GAG/AGG", 4, 0.512)]
+    with pytest.raises(Exception, match="not a gene finder's header"):
+        tables.gene_headers(lines.selectExpr("'a_1 protein' as value")).collect()
+
+
+def test_trna_report(spark, tmp_path):
+    (tmp_path / "r").write_text(">c|1 x\n3 genes found\n1   tRNA-Ala   c[90,20]  \t 34 \t (tgc)\n2   tRNA-Gly  [100,170]  34  (tcc)\n3 tRNA-?(Phe|Tyr) c[300,371] 35 (gaa)\n4   tmRNA  c[400,700]  1\n>d\n0 genes found\n>e\n1 gene found\n1   tRNA-Leu   c[9,2]   34  (caa)\n>end \t3 sequences\n")
+    blocks = tables.trna_blocks(spark, f"file://{tmp_path}/r")
+    assert sorted(tuple(r) for r in tables.trna_report(blocks).collect()) == [("c|1", 1, "Ala", 20, 90), ("c|1", 2, "?(Phe|Tyr)", 300, 371), ("e", 1, "Leu", 2, 9)]
+    assert tables.trna_report(blocks, complement_only=False).count() == 4
+
+
+def test_log(spark, tmp_path):
+    from contigra.sinks.files import log_to
+
+    for path, session in ((f"file://{tmp_path}/a.txt", spark), (str(tmp_path / "b.txt"), None)):
+        log = log_to(path, session, console=False)
+        log.info("one")
+        log.info("two")
+    for name in "ab":
+        assert [x.partition("] ")[2] for x in (tmp_path / f"{name}.txt").read_text().splitlines()] == ["one", "two"]
