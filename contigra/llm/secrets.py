@@ -3,16 +3,19 @@
 A span is the place of a match in code points, end exclusive. Base kinds are found leftmost and non-overlapping. The
 method adds kind `entropy`: a candidate is a maximal run of a character class (hexadecimal; letters, digits and +/_-).
 A window slides over it, whose Shannon entropy is kept by incremental counts (one character in, one out; integers only,
-so that no rounding gathers), and windows at or above the class's threshold merge into spans. Candidates that are
-on the allow-list from end to end give none. Stretches on the allow-list, and base spans, which tell their own secret
-already, cut a candidate, however long: only windows that lie wholly outside of them count, so that what stands beside
-is told too.
+so that no rounding gathers), and windows at or above the class's threshold merge into spans. Base spans, which tell their
+own secret already, are blanks to the method: what stands beside them is a candidate of its own. Candidates that are on the
+allow-list from end to end give none; stretches on the allow-list cut a candidate, however long: only windows that lie
+wholly outside of them count.
 
 Matches and the text between them come from one pattern each by split() and regexp_extract_all(); their lengths give the
-places. Every row is scanned for itself: no shuffle, no state between rows.
+places by running sums in two levels, so that the work grows with the text and its matches, not with their product. Every
+row is scanned for itself: no shuffle, no state between rows.
 
-Defined results: a null text counts as empty; empty texts have no spans; repeated rows each have their own; very long
-texts are scanned whole; an empty table gives no rows.
+Defined results: a null text counts as empty; empty texts have no spans; spans of one start go by their kind, and a span
+that both character classes give counts once; repeated rows each have their own; very long texts are scanned whole; a
+column of docs that is called base_spans or spans gives way to the one that scan() adds, others stay; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -57,36 +60,78 @@ CLASSES = (
 _SPANS = "array<struct<start:bigint,kind:int,stop:bigint>>"
 _RUNS = "array<struct<s:int,e:int>>"
 _UNIT = 1_000_000
+#: Elements of a block of a running sum, and characters of a part of a text.
+_BLOCK, _PART = 64, 4096
 
 
 def _span(start: Column, kind: int, stop: Column) -> Column:
     return F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), stop.cast("long").alias("stop"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once, though body names it many times or within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element what op (with 0 as its neutral element) makes of those before it, by blocks and then within a block."""
+    zero = F.lit(0).cast("long")
+
+    def scan(x: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(x, state, lambda s, v: F.struct(op(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def both(cut: Column) -> Column:
+        return F.flatten(F.zip_with(cut, scan(F.transform(cut, lambda x: F.aggregate(x, zero, op)), zero), scan))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), both)).otherwise(F.array().cast("array<bigint>")))
+
+
 def _located(text: Column, pattern: str, each: Callable[[Column, Column], Column], of: int = 0) -> Column:
     """What `each` makes of a pattern's matches, joined: it gets a match's place and the match (or its group `of`) and
-    gives an array of spans; the place of what is next moves on by the whole match."""
+    gives an array of spans."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(of)) if of else found
-    rows = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"))), group, lambda x, g: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), g.alias("g")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    rows = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("size"))), group, lambda x, g: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), g.alias("g")))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        return F.struct((begin + x["size"]).alias("at"), F.concat(s["spans"], each(F.struct(begin.alias("start"), (begin + x["size"]).alias("stop")), x["g"])).alias("spans"))
+    def placed(x: Column, before: Column) -> Column:
+        begin = before + x["gap"]
+        return each(F.struct(begin.alias("start"), (begin + x["size"]).alias("stop")), x["g"])
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, start, step, lambda s: s["spans"])).otherwise(F.array().cast(_SPANS))
+    def every(r: Column) -> Column:
+        return F.flatten(F.zip_with(r, running(F.transform(r, lambda x: x["gap"] + x["size"]), lambda s, v: s + v), placed))
 
+    return F.when(text.rlike(pattern), let(rows, every)).otherwise(F.array().cast(_SPANS))
 
-def blanked(candidate: Column, begin: Column, spans: Column) -> Column:
-    """A candidate that begins at `begin`, with blanks where spans cover it."""
-    size = F.length(candidate)
 
-    def step(s: Column, x: Column) -> Column:
-        at, to = F.greatest(x["start"] - begin, F.lit(0)).cast("int"), F.least(x["stop"] - begin, size).cast("int")
-        return F.overlay(s, F.repeat(F.lit(" "), to - at), at + 1, to - at)
+def replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """text with the stretches that spans (in order of their starts) cover replaced: mark gets a span and where the spans before
+    it end, and gives what takes its place. The text is cut in parts first, as finding a place in it takes a walk from its
+    beginning."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+
+    def joined(of: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            def piece(k: Column) -> Column:
+                low = F.greatest(a - k * _PART, F.lit(0).cast("long"))
+                return F.substring(F.get(of["parts"], k.cast("int")), (low + 1).cast("int"), (F.least(b - k * _PART, F.lit(_PART).cast("long")) - low).cast("int"))
+
+            return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / _PART), F.floor((b - 1) / _PART)), piece), "")).otherwise("")
 
-    return F.aggregate(F.filter(spans, lambda x: (x["start"] < begin + size) & (begin < x["stop"])), candidate, step)
+        kept = F.zip_with(of["spans"], of["before"], lambda x, m: F.concat(between(m, x["start"]), mark(x, m)))
+        return F.concat(F.array_join(kept, ""), between(F.greatest(F.array_max(of["spans"]["stop"]), F.lit(0).cast("long")), of["size"]))
+
+    before = running(F.transform(spans, lambda x: x["stop"]), lambda s, v: F.greatest(s, v))
+    return let(F.struct(parts.alias("parts"), spans.alias("spans"), before.alias("before"), F.length(text).cast("long").alias("size")), joined)
+
+
+def blanked(text: Column, pattern: str) -> Column:
+    """text with blanks where the pattern matches."""
+    blanks = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+    return F.when(text.rlike(pattern), F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(blanks, F.array(F.lit(""))), lambda gap, m: F.concat(gap, m)), "")).otherwise(text)
 
 
 def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
@@ -117,16 +162,21 @@ def entropy_runs(candidate: Column, c: CharacterClass) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["runs"])
 
 
-def _entropy(text: Column, c: CharacterClass, base: Column) -> Column:
+def _entropy(text: Column, c: CharacterClass) -> Column:
     def each(place: Column, candidate: Column) -> Column:
-        allowed = _located(candidate, ALLOWED_STRETCH, lambda p, _: F.array(_span(p["start"], 3, p["stop"])))
-        left = blanked(blanked(candidate, place["start"], base), F.lit(0), allowed)
-        runs = F.transform(entropy_runs(left, c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
+        runs = F.transform(entropy_runs(blanked(candidate, ALLOWED_STRETCH), c), lambda r: _span(place["start"] + r["s"], 3, place["start"] + r["e"]))
         return F.when(candidate.rlike(ALLOWED), F.array().cast(_SPANS)).otherwise(runs)
 
     return _located(text, c.pattern, each)
 
 
+def once(spans: Column) -> Column:
+    """Sorted spans, equal ones once."""
+    before = lambda v: F.concat(F.array(F.lit(None).cast(_SPANS[6:-1])), F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))))
+    some = let(F.array_sort(spans), lambda v: F.filter(F.zip_with(v, before(v), lambda x, p: F.when(~x.eqNullSafe(p), x)), lambda x: x.isNotNull()))
+    return F.when(F.size(spans) > 0, some).otherwise(spans)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs with two more columns, base_spans and spans: arrays of (start, kind, stop), by start and then kind's index in KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -134,8 +184,13 @@ def scan(docs: DataFrame) -> DataFrame:
     assign = _located(text, ASSIGN, lambda p, g: F.when(F.length(g) >= LEAST_ASSIGN, F.array(_span(p["start"], 0, p["stop"]))).otherwise(none), of=2)
     others = [_located(text, x, lambda p, _, k=k: F.array(_span(p["start"], k, p["stop"]))) for k, x in ((1, ACCESS), (2, HEX))]
     found = docs.withColumn("base_spans", F.array_sort(F.concat(assign, *others)))
-    added = F.array_distinct(F.concat(*[_entropy(text, c, F.col("base_spans")) for c in CLASSES]))
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", added)))
+
+    def blank(x: Column, before: Column) -> Column:
+        return F.repeat(F.lit(" "), F.greatest(x["stop"] - F.greatest(x["start"], before), F.lit(0)).cast("int"))
+
+    masked = found.withColumn("_masked", F.when(F.size("base_spans") > 0, replaced(text, F.col("base_spans"), blank)).otherwise(text))
+    added = masked.withColumn("_added", F.concat(*[_entropy(F.col("_masked"), c) for c in CLASSES]))
+    return added.withColumn("spans", F.array_sort(F.concat("base_spans", once(F.col("_added"))))).drop("_masked", "_added")
 
 
 def told(spans: Column) -> Column:
@@ -154,16 +209,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch that spans cover replaced by the mark; n_chars, if there, follows the text. Texts without
     spans, null ones too, stay as they are."""
     found = scan(docs.select(F.struct("*").alias("_row"), F.col("text")))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] >= s["at"], new).otherwise(s["out"]).alias("out"))
-
-    def rest(s: Column) -> Column:
-        return F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
-
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", first, step, rest)).otherwise(F.col("text"))
+    shown = lambda x, before: F.when(x["start"] >= before, F.lit(mark)).otherwise("")
+    text = F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), shown)).otherwise(F.col("text"))
     out = found.withColumn("_text", text)
     cols = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.select(*cols)

@@ -7,32 +7,35 @@ records are rows of bytes, which Spark's text writer ends with the two line brea
 file system Spark writes to holds gzipped WARC files, each of few records.
 
 read() takes archives from any writer of plain or gzipped WARC 1.0 or 1.1: it walks the records of each file by their
-Content-Length, groups segments by origin, orders them by number, verifies the total length, decodes the framing and
-verifies the payload's digest. Only segmented records are shuffled.
+Content-Length as they come out of decompression, groups segments by origin, orders them by number, verifies the total
+length, decodes the framing and verifies the payload's digest. Records that are whole are decoded where they are read,
+each file once; only segmented ones are shuffled. A file is one row of Spark's reader, so archives should stay under a few
+hundred MB, as write()'s are.
 
 Defined results: a null html is an empty payload; all rows that share the largest page_id of a payload are responses;
-a null page_id never is a revisit's target unless all of a payload's are null, in which case all are responses; an empty
-table gives an archive without records; other columns are ignored.
+a null page_id never is a revisit's target unless all of a payload's are null, in which case all are responses; a very
+long payload goes through many segments and is held whole by the task that puts it together; columns other than page_id,
+url and html are ignored, whatever they are called; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import new_path, slices, stored
 
 END = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_READ = "origin string, number int, total long, type string, page_id long, refers_to long, digest string, block binary"
 _PAGES = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, n_segments int"
+_READ = f"{_PAGES}, origin string, number int, total long, block binary"
 
 
 def digest_of(payload: bytes) -> str:
@@ -109,21 +112,57 @@ def write(pages: DataFrame, path: str, least: int = 0, chunk: int = 4096, segmen
     lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
-def walked(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in parts; of a gzipped one, of any number of members, what they hold."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    at, member = 0, zlib.decompressobj(31)
     while at < len(data):
-        if data[at : at + 2] == END:
+        part = data[at : at + step]
+        while part:
+            yield member.decompress(part)
+            part = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+        at += step
+
+
+def walked(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, whose bytes come in parts."""
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        for part in parts:
+            if part:
+                held.extend(part)
+                return True
+        return False
+
+    while True:
+        if at > 1 << 20:
+            del held[:at]
+            at = 0
+        while len(held) - at < 2 and more():
+            pass
+        if len(held) == at:
+            return
+        if held[at : at + 2] == END:
             at += 2
             continue
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("a record's header is cut short")
+        version, *lines = held[at:end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/1."):
-            raise ValueError(f"no record begins at byte {at}")
+            raise ValueError(f"no record begins where {version[:40]!r} stands")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        stop = end + 4 + int(fields["content-length"])
+        while len(held) < stop:
+            if not more():
+                raise ValueError("a record's block is cut short")
+        yield fields, bytes(held[end + 4 : stop])
+        at = stop
 
 
 def decoded(row: dict, blocks: list[bytes]) -> dict:
@@ -140,51 +179,55 @@ def decoded(row: dict, blocks: list[bytes]) -> dict:
     return {"page_id": row["page_id"], "payload": payload, "payload_bytes": None if payload is None else len(payload), "payload_digest": row["digest"], "record_type": row["type"], "refers_to": row["refers_to"], "n_segments": len(blocks)}
 
 
-def _pages(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_pylist(rows, pa.schema([(x.split()[0], t) for x, t in zip(_PAGES.split(", "), kinds, strict=True)]))
+def _batch(rows: list[dict], names: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in names.split(", ")]))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """page_id, payload, payload_bytes, payload_digest, record_type, refers_to, n_segments of each page in the archives.
-    A revisit's payload is null and its length is its response's."""
+    A revisit's payload is null and its length is its response's. payloads: without them payload is null, once it is
+    verified; then each file is read once, and what is found is kept as a table."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    schema = pa.schema([(x.split()[0], t) for x, t in zip(_READ.split(", "), kinds, strict=True)])
+
+    def told(row: dict) -> dict:
+        return row if payloads else row | {"payload": None}
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x is None else int(x)
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                data = content.as_py()
-                for f, block in walked(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    whole = "warc-segment-number" not in f
-                    rows.append({"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": None if whole else int(f["warc-segment-number"]), "total": number(f.get("warc-segment-total-length")), "type": f["warc-type"], "page_id": number(f.get("x-page-id")), "refers_to": number(f.get("x-refers-to-page-id")), "digest": f.get("warc-payload-digest", ":").partition(":")[2] or None, "block": block})
+                for f, block in walked(inflated(content.as_py())):
+                    own = {"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": number(f.get("warc-segment-number")), "total": number(f.get("warc-segment-total-length"))}
+                    page = {"type": f["warc-type"], "page_id": number(f.get("x-page-id")), "refers_to": number(f.get("x-refers-to-page-id")), "digest": f.get("warc-payload-digest", ":").partition(":")[2] or None}
+                    if own["number"] is None:
+                        rows.append(told(decoded(own | page, [block])))
+                    else:
+                        rows.append({"page_id": page["page_id"], "record_type": page["type"], "refers_to": page["refers_to"], "payload_digest": page["digest"], "block": block, **own})
                     held += len(block)
                     if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield _batch(rows, _READ)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "block"):
-                yield _pages([decoded(r, [r["block"]]) for r in batch.to_pylist()])
+                    yield _batch(rows, _READ)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = batch.column("parts")[i].as_py()
+                parts, origin = batch.column("parts")[i].as_py(), batch.column("origin")[i].as_py()
                 if [x["number"] for x in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] is None:
-                    raise ValueError(f"segments are missing or doubled: {batch.column('origin')[i]}")
-                yield _pages([decoded(parts[0] | {"origin": batch.column("origin")[i].as_py(), "total": parts[-1]["total"]}, [x["block"] for x in parts])])
+                    raise ValueError(f"segments are missing or doubled: {origin}")
+                first = parts[0]
+                row = {"origin": origin, "total": parts[-1]["total"], "type": first["record_type"], "page_id": first["page_id"], "refers_to": first["refers_to"], "digest": first["payload_digest"]}
+                yield _batch([told(decoded(row, [x["block"] for x in parts]))], _PAGES)
 
     rows = files.mapInArrow(parsed, _READ)
-    segments = rows.where("number is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "type", "page_id", "refers_to", "digest", "block"))).alias("parts"))
-    whole = rows.where("number is null").mapInArrow(alone, _PAGES).unionByName(segments.mapInArrow(together, _PAGES))
-    return whole
+    rows = rows if payloads else stored(rows, "warc-records")
+    cols = [x.split()[0] for x in _PAGES.split(", ")]
+    part = F.struct("number", "total", "page_id", "record_type", "refers_to", "payload_digest", "block")
+    segments = rows.where("number is not null").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return rows.where("number is null").select(cols).unionByName(segments.mapInArrow(together, _PAGES))
 
 
 def resolved(found: DataFrame) -> DataFrame:
@@ -201,4 +244,4 @@ def round_trip(pages: DataFrame, **how: int) -> DataFrame:
     """What resolved() finds in the archives of pages, written to a new folder of the shared one."""
     spark, path = pages.sparkSession, new_path(pages.sparkSession, "warc")
     write(pages, path, **how)
-    return resolved(read(spark, path))
+    return resolved(read(spark, path, payloads=False))

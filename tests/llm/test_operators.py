@@ -194,6 +194,60 @@ def test_allowed_stretches_cut_no_more(spark):
     assert got[0][-1].endswith(f":{len(texts[0])}") and got[1] == [f"entropy:15:{len(texts[1])}"]
 
 
+def brute_spans(text):
+    """All spans, place by place: base matches, and windows of enough entropy in runs that neither they nor allowed stretches cover."""
+    t = text or ""
+    base, masked = base_spans(t), list(t)
+    for a, _, e in base:
+        masked[a:e] = " " * (e - a)
+    masked, found = "".join(masked), set()
+    for c in secrets.CLASSES:
+        for m in re.finditer(c.pattern, masked):
+            if not re.search(secrets.ALLOWED, m[0]):
+                left = re.sub(secrets.ALLOWED_STRETCH, lambda x: " " * len(x[0]), m[0])
+                found |= {(m.start() + p.start() + a, 3, m.start() + p.start() + e) for p in re.finditer("[^ ]+", left) for a, e in brute_runs(p[0], c)}
+    return sorted(base + list(found))
+
+
+def test_all_spans(spark):
+    rng = random.Random(21)
+    letters = secrets.CLASSES[1].letters
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    code = lambda n: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(n))
+    kinds = [lambda: f"password={token(rng.randint(8, 40))}", lambda: f"Api-Key: {token(14)}", lambda: f"api_key : '{token(14)}'", lambda: "AKIA" + "".join(rng.choice("ABCDEFGH2345") for _ in range(rng.randint(10, 20))), lambda: code(rng.randint(10, 60)), lambda: code(40).lower(), lambda: token(rng.randint(10, 80)), lambda: "é\U0001f600", lambda: "plain words", lambda: "sample" + token(30), lambda: "AAAAAAAAAA" + token(30), lambda: "x" * 30, lambda: "0123456789" * 3, lambda: "a-b/c_d-eeeeeeeeeeeeeeeeeeeee"]
+    texts = ["".join(rng.choice(kinds)() + rng.choice(["", " ", "\n", "-", "/", ",", '"']) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    texts += [" ".join(f"token={token(20)} {code(32).lower()}" for _ in range(3000)), None, "", "AKIA" * 3000, "".join(f"é{code(30)}\U0001f600" for _ in range(2000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    kept = {r.doc_id: r for r in secrets.redacted(got).collect()}
+    for r in secrets.summary(got).collect():
+        want = brute_spans(texts[r.doc_id])
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in want), texts[r.doc_id][:200]
+        out, at = "", 0
+        for a, _, e in want:
+            out += (texts[r.doc_id][at:a] + "[SECRET]") if a >= at else ""
+            at = max(at, e)
+        assert kept[r.doc_id].text == (None if texts[r.doc_id] is None else out + texts[r.doc_id][at:])
+
+
+def test_base_spans_by_sql(spark, docs, rows):
+    """The base columns as DuckDB's regular expressions give them, by lengths of what stands before each match."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    texts = [(r[0], r[1]) for r in rows] + [(9000 + i, t) for i, t in enumerate(SECRETS)]
+    con.executemany("insert into documents values (?, ?)", texts)
+    assign = ASSIGN.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]").replace("'", "''")
+    part = lambda pattern, least, group: f"select doc_id, count(*) filter (length(g) >= {least}) as n from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{pattern}', {group})) as g from documents) group by doc_id"
+    counts = {k: dict(con.execute(part(*x)).fetchall()) for k, x in {"n_assign": (assign, 12, 1), "n_access": ("AKIA[A-Z0-9]+", 18, 0), "n_hex": ("[0-9a-f]+", 16, 0)}.items()}
+    extra = spark.createDataFrame([x for x in texts if (x[0] or 0) >= 9000], "doc_id long, text string")
+    found = Counter()
+    for r in secrets.summary(docs.select("doc_id", "text").unionByName(extra)).collect():
+        for k in counts:
+            found[r.doc_id, k] += r[k]
+    assert all(found[d, k] == counts[k].get(d, 0) for d, k in found)
+
+
 def test_redaction_keeps_columns(docs, empty):
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -486,6 +540,27 @@ def test_warc_segments_are_checked(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}").collect()
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    pages = {i: random.Random(i).randbytes(n) for i, n in enumerate((0, 1, 70_000, 500, 3_000_000))}
+    parts = [p + b"\r\n\r\n" for i, x in pages.items() for p in warc.records(f"k{i}", "response", i, "u", x, None, None, 4096, 16384)]
+    (tmp_path / "part-a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "part-b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        next(tmp_path.glob(f"part-{name}*")).rename(tmp_path / name / f"part-{name}.warc")
+        got = {r.page_id: (bytes(r.payload), r.n_segments) for r in warc.read(spark, f"file://{tmp_path}/{name}").collect()}
+        assert {i: p for i, (p, _) in got.items()} == pages and got[4][1] > 100
+        got = {r.page_id: (r.payload, r.payload_bytes, r.payload_digest) for r in warc.read(spark, f"file://{tmp_path}/{name}", payloads=False).collect()}
+        assert got == {i: (None, len(x), warc.digest_of(x)) for i, x in pages.items()}
+    for step in (1, 3, 1 << 20):
+        short = b"".join(parts[:3])
+        assert [b for _, b in warc.walked(warc.inflated(short, step))] == [b for _, b in warc.walked(warc.inflated(gzip.compress(short[:40]) + gzip.compress(short[40:]), step))]
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.walked(iter([parts[0][:-20]])))
+    with pytest.raises(ValueError, match="no record begins"):
+        list(warc.walked(iter([b"HTTP/1.1 200 OK\r\n\r\n"])))
+
+
 def test_chunks():
     for n in (0, 1, 99, 100, 101):
         assert warc.unchunked(warc.chunked(b"y" * n, 100)) == b"y" * n
