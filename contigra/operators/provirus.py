@@ -1,11 +1,14 @@
 """Integrated proviruses: runs of labelled genes, smoothing, extension to integrases and tRNAs, calls.
 
 All work is by contig: genes are contig, gene_num, gene_start, gene_end, cls, spm_c, spm_v, integrase (0/1) and a column
-with labels 0/1. Windows share one partitioning; a contig has thousands of genes at most.
+with labels 0/1. Windows share one partitioning. What lies where is found by sweeps: two kinds of rows in the order of
+their places, and what a row needs of the other kind is a running value, so that the work is in proportion to the rows
+and not to their pairs; containment and overlap go by bins of the contig.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,6 @@ def by_contig() -> WindowSpec:
     return W.partitionBy("contig")
 
 
-
 @dataclass(frozen=True)
 class RunLimits:
     """Fewer genes or markers than these, or no majority of markers, and a run of labels is given up."""
@@ -67,14 +69,16 @@ def segmented(genes: DataFrame, label: str = "label") -> DataFrame:
 
 
 def run_table(genes: DataFrame, label: str = "label") -> DataFrame:
-    """One row a run: contig, run, label, first_gene, n_genes, n_c, n_v, score, has_integrase, at_edge, run_start, run_end."""
-    rows = segmented(genes, label)
+    """One row a run: contig, run, label, first_gene, n_genes, n_c, n_v, score, has_integrase, at_edge, run_start, run_end, and
+    numbers, those of its integrases, counted along the contig."""
+    rows = segmented(genes.withColumn("_index", F.row_number().over(by_gene())), label)
     c, v = F.col("spm_c"), F.col("spm_v")
     runs = rows.groupBy("contig", "run").agg(
         F.max(label).alias("label"), F.min("gene_num").alias("first_gene"), F.count("*").alias("n_genes"), F.count_if(c > v).alias("n_c"), F.count_if(v > c).alias("n_v"),
         F.sum(F.exp(v) - F.exp(c)).alias("score"), (F.max("integrase") == 1).alias("has_integrase"), F.min("gene_start").alias("run_start"), F.max_by("gene_end", "gene_num").alias("run_end"),
+        F.collect_list(F.when(F.col("integrase") == 1, F.col("_index"))).alias("numbers"),
     )
-    return runs.withColumn("at_edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(by_contig())))
+    return runs.withColumn("numbers", F.array_sort("numbers")).withColumn("at_edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(by_contig())))
 
 
 def encoded_runs(genes: DataFrame, label: str = "label") -> DataFrame:
@@ -94,7 +98,7 @@ def flip_small_runs(genes: DataFrame, value: int, limits: RunLimits, label: str
     run = W.partitionBy("contig", "run")
     c, v = F.col("spm_c"), F.col("spm_v")
     own, other = (c > v, v > c) if value == 0 else (v > c, c > v)
-    edge = (F.col("run") == 1) | (F.col("run") == F.max("run").over(by_contig()))
+    edge = (F.col("run") == 1) | (F.col("run") == F.max("run").over(by_gene().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     rows = rows.withColumn("_edge", edge).withColumn("_n", F.count("*").over(run)).withColumn("_own", F.count_if(own).over(run)).withColumn("_other", F.count_if(other).over(run))
     few = F.col("_n") < F.when(F.col("_edge"), limits.genes_edge).otherwise(limits.genes_inside)
     weak = F.col("_own") < F.when(F.col("_edge"), limits.markers_edge).otherwise(limits.markers_inside)
@@ -114,23 +118,68 @@ def intervals(genes: DataFrame, label: str = "label") -> DataFrame:
     return rows.groupBy("contig", F.col("run").alias("idx")).agg(F.min_by("gene_start", "gene_num").alias("p_start"), F.max_by("gene_end", "gene_num").alias("p_end"))
 
 
+#: Bases of a bin in which overlaps and containment are looked for.
+BIN = 1 << 15
+
+
+def bins(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / BIN), F.floor(end / BIN)))
+
+
+def swept(rows: DataFrame, others: DataFrame, place: Column, other: Column, value: Column, running: Callable[[Column], Column], falling: bool = False, rows_first: bool = True, tie: str | None = None) -> DataFrame:
+    """rows with _found: what `running` makes of `value` of the others of the contig whose place comes before a row's, in rising
+    order or a falling one. rows_first: others of an equal place don't count. tie: of others of one place, those of a
+    smaller such column come later."""
+    tied = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    own = rows.select(F.struct("*").alias("_row"), "contig", place.alias("_place"), F.lit(0 if rows_first else 1).alias("_kind"), F.lit(0).cast("long").alias("_tie"))
+    kind = value.alias("_value")
+    met = others.select("contig", other.alias("_place"), F.lit(1 if rows_first else 0).alias("_kind"), tied.alias("_tie"), kind)
+    both = own.unionByName(met, allowMissingColumns=True)
+    by_place = F.desc("_place") if falling else F.asc("_place")
+    order = W.partitionBy("contig").orderBy(by_place, "_kind", F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("_found", running(F.col("_value")).over(order)).where("_row is not null").select("_row.*", "_found")
+
+
+def last_known(x: Column) -> Column:
+    return F.last(x, ignorenulls=True)
+
+
 def nearest_pairs(found: DataFrame, features: DataFrame) -> DataFrame:
-    """contig, idx, fid, d (signed distance; 0 if they overlap) of proviruses and features nearest to each other; ties go to the
-    lower index. features: contig, fid, f_start, f_end."""
-    both = found.join(features, "contig")
-    right, left = F.col("f_start") > F.col("p_end"), F.col("f_end") < F.col("p_start")
-    both = both.withColumn("d", F.when(right, F.col("f_end") - F.col("p_end")).when(left, F.col("f_start") - F.col("p_start")).otherwise(0))
-    by_feature = F.row_number().over(W.partitionBy("contig", "fid").orderBy(F.abs("d"), "idx"))
-    by_provirus = F.row_number().over(W.partitionBy("contig", "idx").orderBy(F.abs("d"), "fid"))
-    return both.withColumn("_f", by_feature).withColumn("_p", by_provirus).where("_f = 1 and _p = 1").drop("_f", "_p")
+    """contig, idx, p_start, p_end, fid, d (signed distance; 0 if they overlap) of proviruses and features nearest to each other;
+    ties go to the lower index. features: contig, fid, f_start, f_end.
+
+    A provirus' nearest feature overlaps it (the lowest), or is the one to its right that ends first, or the one to its left
+    that starts last; a feature's nearest provirus overlaps it, or ends last before it, or starts first after it."""
+    found, features = found.select("contig", "idx", "p_start", "p_end"), features.select("contig", "fid", "f_start", "f_end")
+    over = found.withColumn("_bin", bins(F.col("p_start"), F.col("p_end"))).join(features.withColumn("_bin", bins(F.col("f_start"), F.col("f_end"))), ["contig", "_bin"])
+    over = over.where("f_start <= p_end and f_end >= p_start").select("contig", "idx", "fid")
+    option = lambda size, key, d: F.when(size.isNotNull(), F.struct(size.cast("long").alias("size"), key.cast("long").alias("key"), d.cast("long").alias("d")))
+    zero = F.lit(0)
+    # proviruses
+    p = swept(found, features, F.col("p_end"), F.col("f_start"), F.struct("f_end", "fid"), F.min, falling=True).withColumnRenamed("_found", "_right")
+    p = swept(p, features, F.col("p_start"), F.col("f_end"), F.struct("f_start", (-F.col("fid")).alias("less")), F.max).withColumnRenamed("_found", "_left")
+    p = p.join(over.groupBy("contig", "idx").agg(F.min("fid").alias("_over")), ["contig", "idx"], "left")
+    right, left = F.col("_right.f_end") - F.col("p_end"), F.col("p_start") - F.col("_left.f_start")
+    p = p.withColumn("_best", F.least(option(F.when(F.col("_over").isNotNull(), zero), F.col("_over"), zero), option(right, F.col("_right.fid"), right), option(left, -F.col("_left.less"), -left)))
+    # features
+    f = swept(features, found, F.col("f_start"), F.col("p_end"), F.struct("p_end", "idx"), last_known, tie="idx").withColumnRenamed("_found", "_left")
+    f = swept(f, found, F.col("f_end"), F.col("p_start"), F.struct("p_start", "idx"), last_known, falling=True, tie="idx").withColumnRenamed("_found", "_right")
+    f = f.join(over.groupBy("contig", "fid").agg(F.min("idx").alias("_over")), ["contig", "fid"], "left")
+    left, right = F.col("f_end") - F.col("_left.p_end"), F.col("_right.p_start") - F.col("f_start")
+    best = F.least(option(F.when(F.col("_over").isNotNull(), zero), F.col("_over"), zero), option(left, F.col("_left.idx"), left), option(right, F.col("_right.idx"), -right))
+    f = f.select("contig", "fid", best["key"].alias("_idx"))
+    chosen = p.where("_best is not null").select("contig", "idx", "p_start", "p_end", F.col("_best.key").alias("fid"), F.col("_best.d").alias("d"))
+    return chosen.join(f.select("contig", "fid", F.col("_idx").cast(found.schema["idx"].dataType).alias("idx")), ["contig", "fid", "idx"]).select("contig", "idx", "p_start", "p_end", "fid", "d")
 
 
 def unblocked(pairs: DataFrame, genes: DataFrame) -> DataFrame:
     """Pairs without a chromosome marker between the provirus and the end of the feature."""
-    c = genes.where(F.col("cls").startswith("C")).select("contig", F.col("gene_start").alias("m_start"), F.col("gene_end").alias("m_end"))
-    p, m = pairs.alias("p"), c.alias("m")
-    between = F.when(F.col("p.d") > 0, (F.col("m_start") >= F.col("p_end")) & (F.col("m_end") <= F.col("p_end") + F.col("d"))).otherwise((F.col("m_end") <= F.col("p_start")) & (F.col("m_start") >= F.col("p_start") + F.col("d")))
-    return p.join(m, (F.col("p.contig") == F.col("m.contig")) & between, "left_anti")
+    markers = genes.where(F.col("cls").startswith("C")).select("contig", F.col("gene_start").alias("m_start"), F.col("gene_end").alias("m_end"))
+    low = F.when(F.col("d") > 0, F.col("p_end")).otherwise(F.col("p_start") + F.col("d"))
+    high = F.when(F.col("d") > 0, F.col("p_end") + F.col("d")).otherwise(F.col("p_start"))
+    # of the markers that start at `low` or later, the one that ends first
+    first = swept(pairs, markers, low, F.col("m_start"), F.col("m_end"), F.min, falling=True, rows_first=False)
+    return first.where(F.col("_found").isNull() | (F.col("_found") > high)).drop("_found")
 
 
 def extended_intervals(genes: DataFrame, features: DataFrame, most: int, label: str = "label") -> DataFrame:
@@ -145,11 +194,12 @@ def extended_intervals(genes: DataFrame, features: DataFrame, most: int, label:
 def extended(genes: DataFrame, features: DataFrame, most: int, label: str = "label") -> DataFrame:
     """Genes with labels anew, by containment in the extended intervals, in contigs where one moved."""
     wide = stored(extended_intervals(genes, features, most, label), "provirus-intervals")
-    contigs = wide.groupBy("contig").agg(F.max("moved").alias("_moved")).where("_moved").select("contig", "_moved")
-    g, p = genes.alias("g"), wide.alias("p")
-    inside = g.join(p, (F.col("g.contig") == F.col("p.contig")) & (F.col("g.gene_start") >= F.col("p.p_start")) & (F.col("g.gene_end") <= F.col("p.p_end")), "left_semi").select("contig", "gene_num").withColumn("_in", F.lit(1))
-    rows = genes.join(contigs, "contig", "left").join(inside, ["contig", "gene_num"], "left")
-    return rows.withColumn(label, F.when(F.col("_moved"), F.coalesce("_in", F.lit(0))).otherwise(F.col(label))).select(*genes.columns)
+    wide = wide.join(wide.where("moved").select("contig").distinct(), "contig", "left_semi")
+    # a gene is inside if, of the intervals that start at its start or before, one ends at its end or later
+    rows = swept(genes, wide, F.col("gene_start"), F.col("p_start"), F.col("p_end"), F.max, rows_first=False)
+    inside = F.coalesce(F.col("_found") >= F.col("gene_end"), F.lit(False)).cast("int")
+    moved = wide.select("contig", F.lit(True).alias("_moved")).distinct()
+    return rows.join(moved, "contig", "left").withColumn(label, F.when(F.col("_moved"), inside).otherwise(F.col(label))).select(*genes.columns)
 
 
 def integrase_features(genes: DataFrame) -> DataFrame:
@@ -177,21 +227,14 @@ def calls(genes: DataFrame, label: str = "label", limits: CallLimits = CallLimit
     `;`-joined; null if none) of the runs of label 1 that are kept. Contigs with one label have none."""
     runs = run_table(genes, label).withColumn("_runs", F.max("run").over(by_contig())).where("_runs > 1 and label = 1")
     kept = runs.where(passes(F.col("at_edge"), F.col("has_integrase"), F.col("score"), limits))
-    out = kept.join(_integrase_numbers(genes, label), ["contig", "run"], "left")
     name = provirus_name(F.col("contig"), F.col("run_start"), F.col("run_end"))
-    names = F.array_join(F.transform("_l", lambda i: provirus_gene(name, i)), ";")
-    return out.select("contig", F.col("run_start").alias("p_start"), F.col("run_end").alias("p_end"), "n_genes", F.col("score").alias("v_vs_c_score"), F.col("at_edge").alias("in_seq_edge"), "has_integrase", names.alias("integrases"))
-
-
-def _integrase_numbers(genes: DataFrame, label: str) -> DataFrame:
-    """contig, run and the numbers of the run's integrases, counted along the contig."""
-    rows = segmented(genes, label).withColumn("_index", F.row_number().over(by_gene())).where("integrase = 1")
-    return rows.groupBy("contig", "run").agg(F.array_sort(F.collect_list("_index")).alias("_l"))
+    names = F.when(F.size("numbers") > 0, F.array_join(F.transform("numbers", lambda i: provirus_gene(name, i)), ";"))
+    return kept.select("contig", F.col("run_start").alias("p_start"), F.col("run_end").alias("p_end"), "n_genes", F.col("score").alias("v_vs_c_score"), F.col("at_edge").alias("in_seq_edge"), "has_integrase", names.alias("integrases"))
 
 
 def genes_in(genes: DataFrame, proviruses: DataFrame) -> DataFrame:
     """Genes contained in a provirus of their contig, with p_start and p_end of the first that holds them."""
-    g, p = genes.alias("g"), proviruses.select("contig", "p_start", "p_end").alias("p")
-    both = g.join(p, (F.col("g.contig") == F.col("p.contig")) & (F.col("g.gene_start") >= F.col("p.p_start")) & (F.col("g.gene_end") <= F.col("p.p_end"))).select("g.*", "p_start", "p_end")
+    p = proviruses.select("contig", "p_start", "p_end").withColumn("_bin", bins(F.col("p_start"), F.col("p_end")))
+    both = genes.withColumn("_bin", F.floor(F.col("gene_start") / BIN)).join(p, ["contig", "_bin"]).where("gene_start >= p_start and gene_end <= p_end").drop("_bin")
     first = F.row_number().over(W.partitionBy("contig", "gene_num").orderBy("p_start", "p_end"))
-    return both.withColumn("_first", first).where("_first = 1").drop("_first")
+    return both.withColumn("_first", first).where("_first = 1").select(*genes.columns, "p_start", "p_end")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import argmax
+from .order import numbered
 
 SHORT = 2500
 PLASMID, VIRUS = 1, 2
@@ -73,7 +74,7 @@ def passing(kind: int, f: Filters, with_genes: bool = True) -> Column:
 
 def ranked(rows: DataFrame, own: str) -> DataFrame:
     """Adds rank: by score, then name."""
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc(own), "name")))
+    return numbered(rows, [F.desc(own), "name"])
 
 
 def contig_or_proviruses(rows: DataFrame, own: str) -> DataFrame:
@@ -82,19 +83,10 @@ def contig_or_proviruses(rows: DataFrame, own: str) -> DataFrame:
     return rows.withColumn("_kind", first).where("is_provirus = _kind").drop("_kind")
 
 
-def with_fdr(rows: DataFrame, own: str, buckets: int = 1024) -> DataFrame:
-    """Adds rank and fdr, the mean of 1 - score over this row and those before it, by score and then name.
-
-    Running sums go by buckets of the score and then within a bucket, so that no task holds all rows."""
-    bucket = F.floor((1 - F.col(own)) * buckets).cast("int")
-    rows = rows.withColumn("_b", bucket).withColumn("_e", 1 - F.col(own))
-    sums = rows.groupBy("_b").agg(F.count("*").alias("_n"), F.sum("_e").alias("_s"))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"))
-    order = W.partitionBy("_b").orderBy(F.desc(own), "name")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(sums, "_b").withColumn("rank", (F.col("_n") + F.row_number().over(order)).cast("long")).withColumn("_total", F.col("_s") + F.sum("_e").over(upto))
-    return out.withColumn("fdr", F.col("_total") / F.col("rank")).drop("_b", "_e", "_n", "_s", "_total")
+def with_fdr(rows: DataFrame, own: str) -> DataFrame:
+    """Adds rank and fdr, the mean of 1 - score over this row and those before it, by score and then name."""
+    out = numbered(rows.withColumn("_error", 1 - F.col(own)), [F.desc(own), "name"], sums=["_error"])
+    return out.withColumn("fdr", F.col("_error") / F.col("rank")).drop("_error")
 
 
 def flag_sequences(candidates: DataFrame, kind: int, filters: Filters = PRESETS["default"], with_genes: bool = True, calibrated: bool = True) -> DataFrame:

@@ -21,16 +21,23 @@ ROOT, FRACTION, STRICT_FRACTION, FIRST = 1, 0.5, 0.6, "Viruses"
 
 
 def closure(taxa: DataFrame) -> DataFrame:
-    """taxid, ancestor, depth (of the ancestor, the root has 0), rank and name of the ancestor, for each taxon, itself included."""
-    steps = """
-        with recursive up(taxid, ancestor, steps) as (
-          select taxid, taxid, 0 from {taxa}
-          union all select up.taxid, t.parent, up.steps + 1 from up join {taxa} t on up.ancestor = t.taxid where t.parent <> t.taxid)
-        select up.taxid, up.ancestor, up.steps, t.rank, t.name from up join {taxa} t on up.ancestor = t.taxid
-    """
-    rows = taxa.sparkSession.sql(steps, taxa=taxa)
+    """taxid, ancestor, depth (of the ancestor, the root has 0), rank and name of the ancestor, for each taxon, itself included.
+
+    By doubling: who has an ancestor 2^k steps up has that one's ancestors too. So rounds are as many as the logarithm of the
+    deepest lineage, and no limit on rows or levels holds. Each round is written."""
+    pairs = taxa.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("steps"))
+    jump = stored(taxa.where("parent <> taxid").select("taxid", F.col("parent").alias("up")), "taxa-up")
+    far = 1
+    while not jump.isEmpty():
+        above = pairs.select(F.col("taxid").alias("up"), "ancestor", (F.col("steps") + far).alias("steps"))
+        pairs = stored(pairs.unionByName(jump.join(above, "up").select("taxid", "ancestor", "steps")), "taxa-pairs")
+        jump = stored(jump.join(jump.select(F.col("taxid").alias("up"), F.col("up").alias("_top")), "up").select("taxid", F.col("_top").alias("up")), "taxa-up")
+        far *= 2
+        if far > 1 << 12:
+            raise ValueError("a taxon is its own ancestor")
+    named = taxa.select(F.col("taxid").alias("ancestor"), "rank", "name")
     depth = F.max("steps").over(W.partitionBy("taxid")) - F.col("steps")
-    return rows.select("taxid", "ancestor", depth.alias("depth"), "rank", "name")
+    return pairs.join(named, "ancestor").select("taxid", "ancestor", depth.alias("depth"), "rank", "name")
 
 
 def ranks(lenient: bool = False, full: bool = False) -> tuple[str, ...]:
@@ -39,9 +46,9 @@ def ranks(lenient: bool = False, full: bool = False) -> tuple[str, ...]:
 
 def votes(genes: DataFrame, lineages: DataFrame) -> DataFrame:
     """contig, ancestor, depth, weight (of the genes under it), whole (of all genes of the contig)."""
-    rows = genes.where(F.col("taxid") != ROOT)
-    sums = rows.join(lineages, "taxid").groupBy("contig", "ancestor", "depth").agg(F.sum("bitscore").cast("double").alias("weight"))
-    whole = rows.groupBy("contig").agg(F.sum("bitscore").cast("double").alias("whole"), F.count("*").alias("n"), F.min("taxid").alias("only"))
+    rows = genes.where(F.col("taxid") != ROOT).groupBy("contig", "taxid").agg(F.sum("bitscore").cast("double").alias("weight"), F.count("*").alias("n"))
+    sums = rows.join(lineages, "taxid").groupBy("contig", "ancestor", "depth").agg(F.sum("weight").alias("weight"))
+    whole = rows.groupBy("contig").agg(F.sum("weight").alias("whole"), F.sum("n").alias("n"), F.min("taxid").alias("only"))
     return sums.join(whole, "contig")
 
 

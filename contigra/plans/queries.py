@@ -13,6 +13,7 @@ from ..functions import names as N
 from ..functions import numeric as M
 from ..functions import sequence as S
 from ..operators import annotate, features, models, provirus, select, taxonomy, tokens
+from ..operators.order import numbered
 from ..sources import tables
 from .views import Views, with_views
 
@@ -487,11 +488,9 @@ def _(v: Views) -> DataFrame:
 
 @query("srt_natural", "with t as (select 'Contig' || (s_suppkey * 7919 % 1000) || '_x' || (s_suppkey % 10) as name from supplier) select name, cast(row_number() over (order by cast(regexp_extract(name, '(\\d+)_', 1) as int), cast(regexp_extract(name, 'x(\\d+)', 1) as int), name) as int) as place from (select distinct name from t) y")
 def _(v: Views) -> DataFrame:
-    from pyspark.sql import Window as W
-
     key = F.col("s_suppkey")
     rows = v.table("supplier").select(F.concat(F.lit("Contig"), (key * 7919 % 1000).cast("string"), F.lit("_x"), (key % 10).cast("string")).alias("name")).distinct()
-    return rows.select("name", F.row_number().over(W.orderBy(S.natural_key(F.col("name")), "name")).alias("place"))
+    return numbered(rows, [S.natural_key(F.col("name")), "name"], "place").select("name", F.col("place").cast("int").alias("place"))
 
 
 # ---- numbers and models ---------------------------------------------------------------------------------------------
@@ -970,7 +969,7 @@ for _name in ("win_rank_score", "srt_score_desc"):
 
     @query(_name, cand_sql("select name, cast(row_number() over (order by score_v desc, name) as int) as rank from cand"))
     def _(v: Views) -> DataFrame:
-        return select.ranked(candidates_of(v), "score_v").select("name", "rank")
+        return select.ranked(candidates_of(v), "score_v").select("name", F.col("rank").cast("int").alias("rank"))
 
 
 @query("win_running_fdr", cand_sql("select name, row_number() over o as rank, round(avg(1 - score_v) over (o rows between unbounded preceding and current row), 6) as fdr from cand window o as (order by score_v desc, name)"))
