@@ -504,6 +504,48 @@ def test_language_tables_are_the_convolution():
     assert np.allclose(net.pooled(x, net.tables()).ravel(), want, atol=1e-4)
 
 
+def plain_language(net, text):
+    """Prediction of one text, window by window and filter by filter."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    symbol = lambda b: b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if 48 <= b <= 57 else 28 if b in (9, 10, 11, 12, 13, 32) else 32 + (b & 31) if b >= 128 else 29
+    s = [symbol(b) for b in text.encode()]
+    s += [0] * (-len(s) % net.window)
+    logs = []
+    for at in range(0, len(s), net.window):
+        w, kept = s[at : at + net.window], []
+        for f in net.filters:
+            at_each = sum(f[j][w[j : len(w) - len(f) + 1 + j]].astype(np.float64) for j in range(len(f)))
+            kept += [max(0.0, x) for x in at_each.max(axis=0).tolist()]
+        z = [sum(k * d for k, d in zip(kept, net.dense[:, i].tolist())) + float(net.bias[i]) for i in range(len(net.languages))]
+        whole = math.log(sum(math.exp(x - max(z)) for x in z)) + max(z)
+        logs.append([x - whole for x in z])
+    means = [sum(x) / len(logs) for x in zip(*logs)]
+    p = [math.exp(x) / sum(map(math.exp, means)) for x in means]
+    return net.languages[p.index(max(p))], max(p)
+
+
+def test_predictions_place_by_place(spark, docs, rows):
+    net = langid.fit(docs)
+    got = {}
+    for r in langid.predict(docs, net, ["doc_id", "text"]).collect():
+        got.setdefault((r.row.doc_id, r.row.text), []).append((r.lang_pred, r.score))
+    for row in rows:
+        lang, score = plain_language(net, row[1])
+        for found in got[row[0], row[1]]:
+            assert found[0] == lang and abs(found[1] - score) < 1e-4
+    held = {r.doc_id: r.held_out for r in langid.identified(docs).collect()}
+    assert all(held[r[0]] == (r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
+
+
+def test_held_out_labels_are_not_learned(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 30), "aa" if zlib.crc32(str(i).encode()) % 4 != 2 else "held only") for i in range(200)]
+    one = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    two = langid.fit(spark.createDataFrame([(i, t, g if g == "aa" else None) for i, t, g in rows], "doc_id long, text string, lang string"))
+    assert one.languages == two.languages == ["aa"] and all(np.array_equal(a, b) for a, b in zip(one.filters, two.filters))
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identified(df).collect()] == [("und", 0.0)]
@@ -636,6 +678,48 @@ def test_neardup_chains(spark, monkeypatch, tile):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_neardup_of_common_passages(spark, monkeypatch):
+    """Unlike documents that share a passage meet in large buckets; these are divided, and no link is lost."""
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "MEETING", 3)
+    rng = random.Random(17)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(150)]
+    texts += [" ".join(rng.choice(WORDS) if rng.random() < 0.01 else w for w in texts[i].split()) for i in range(0, 150, 3) for _ in range(3)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    divisions, real = [], neardup.divided
+    monkeypatch.setattr(neardup, "divided", lambda apart, bands: divisions.append(apart.groupBy("key").count().agg({"count": "max"}).first()[0]) or real(apart, bands))
+    for most in (2, 64):
+        monkeypatch.setattr(neardup, "MOST_TILES", most)
+        got = neardup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter(tuple(r) for r in got) == brute_components(rows)
+    assert all(n and n > 20 for n in divisions)
+
+
+def test_components_in_turns(spark):
+    rng = random.Random(23)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    known = neardup.components(frame(links[:100]))
+    for i in (100, 160, 161, 220, 240):
+        known = neardup.merged(known, frame(links[i - 60 : i] if i != 161 else [(5, 5)]))
+    root = list(range(300))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in range(300):
+        groups.setdefault(find(x), set()).add(x)
+    got = {}
+    for r in known.collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in groups.values() if len(g) > 1} and all(min(g) == r for r, g in got.items())
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 2000, np.uint64)
@@ -770,18 +854,124 @@ def test_co_training_takes_the_surest_of_all_rows(spark, monkeypatch):
                 assert np.allclose(told, best[:most], atol=2e-6)
 
 
+def plain_co_training(rows, labels):
+    """Scores by doc_id and text: rows (doc_id, text, source, lang, n_chars, key); labels: quality by doc_id."""
+    import xxhash
+
+    a, b = np.stack([quality.text_view((r[1] or "").encode()) for r in rows]), np.stack([quality.meta_view(*r[2:5]) for r in rows])
+    signed = lambda d: int.from_bytes(xxhash.xxh64(d.to_bytes(8, "little", signed=True), seed=42).digest(), "big", signed=True)
+    seen = {}
+    for i, r in enumerate(rows):
+        if r[0] in labels:
+            seen.setdefault((signed(r[0]), r[0], a[i].tobytes(), r[2], r[3], r[4]), i)
+    known = [seen[k] for k in sorted(seen)]
+    y = np.array([labels[rows[i][0]] for i in known])
+    views = a, b
+    order = np.random.default_rng(3).permutation(len(y))
+    kept, learn = [known[i] for i in order[: len(y) // 4]], [known[i] for i in order[len(y) // 4 :]]
+    of = lambda some: np.array([labels[rows[i][0]] for i in some], float)
+    own, own_y = [list(learn), list(learn)], [of(learn).tolist() for _ in "ab"]
+    weights = [quality.logistic(views[v][learn], of(learn)) for v in (0, 1)]
+    free = {r[5]: i for i, r in reversed(list(enumerate(rows))) if r[0] not in labels}
+    most = {label: max(1, int(0.05 * len(learn) * (of(learn) == label).mean())) for label in (1, 0)}
+    for _ in range(4):
+        taken = []
+        for v in (0, 1):
+            for label in (1, 0):
+                z = {k: round(float(quality.margin(views[v][i], weights[v])), 6) * (1 if label else -1) for k, i in free.items()}
+                best = [k for k in sorted(z, key=lambda k: (-z[k], k)) if z[k] >= math.log(9) and k not in taken][: most[label]]
+                taken += best
+                own[1 - v] += [free[k] for k in best]
+                own_y[1 - v] += [float(label)] * len(best)
+        free = {k: i for k, i in free.items() if k not in taken}
+        weights = [quality.logistic(views[v][own[v]], np.array(own_y[v]), steps=80, start=weights[v]) for v in (0, 1)]
+    z = [quality.margin(views[v][kept], weights[v]) for v in (0, 1)]
+    platt = [quality.logistic(z[v][:, None], of(kept), 1e-2) for v in (0, 1)]
+    both = np.column_stack([quality.margin(z[v][:, None], platt[v]) for v in (0, 1)])
+    mixed = quality.logistic(both, of(kept), 1e-2)
+    every = np.column_stack([quality.margin(quality.margin(views[v], weights[v])[:, None], platt[v]) for v in (0, 1)])
+    return quality.chance(every[:, 0]), quality.chance(every[:, 1]), quality.chance(quality.margin(every, mixed))
+
+
+def test_co_training_in_plain(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(41)
+    good = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(rng.randint(1, 9))) + ".", "en", f"s{rng.randrange(9)}", rng.randint(100, 900)) for i in range(300)]
+    bad = [(1000 + i, "!! ".join(w.upper() for w in prose(rng, rng.randint(5, 90)).split()), "en", f"s{rng.randrange(4)}", rng.randint(10, 300)) for i in range(150)]
+    odd = [(5000, None, None, None, None), (None, "no id", "en", "s1", 5), (5001, "", "en", "s2", 0), (2, "another text of a labelled id", "fr", "s1", 7), (2, "another text of a labelled id", "fr", "s1", 7)]
+    df = spark.createDataFrame(good + bad + odd, SCHEMA).repartition(7)
+    labels = {r[0]: int(r[0] < 1000) for r in rng.sample(good, 90) + rng.sample(bad, 50)} | {2: 1}
+    told = spark.createDataFrame([(d, q, 0) for d, q in labels.items()], "doc_id long, quality int, toxic int")
+    rows = [tuple(r) for r in df.select("doc_id", "text", "source", "lang", "n_chars", F.xxhash64("text", "source", "lang", "n_chars")).collect()]
+    want = plain_co_training(rows, labels)
+    got = {}
+    for r in quality.score(df, told).join(df.select("doc_id").distinct(), "doc_id", "left").collect():
+        got.setdefault(r.doc_id, []).append((r.text_score, r.metadata_score, r.score))
+    for i, r in enumerate(rows):
+        assert any(np.allclose(x, [w[i] for w in want], atol=2e-3) for x in got[r[0]]), r
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, docs, rows, tmp_path, vocabulary):
+def plain_mix(rows):
+    """Rows (doc_id, text, source) as the mix takes them: by an md5 of the doc_id, up to twice through a source."""
+    sizes = {}
+    for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or "")):
+        sizes[r[2]] = sizes.get(r[2], 0) + len(words_of(r[1]))
+    target, out = brute_targets(sizes), []
+    for source, n in sizes.items():
+        quota, at = math.floor(target[source] + 0.5), 0
+        own = sorted((hashlib.md5(("null" if r[0] is None else str(r[0])).encode()).hexdigest(), len(words_of(r[1])), r) for r in rows if r[2] == source)
+        for _, size, r in own:
+            for left in (quota, quota - n):
+                words = max(0, min(at + size, min(left, n)) - at)
+                if words:
+                    out.append((r[0], r[1] if words == size else " ".join(words_of(r[1])[:words])))
+            at += size
+    return out
+
+
+def test_pipeline_in_plain(spark, docs, rows, tmp_path, vocabulary):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert [n for n, _ in p.STAGES] == ["language identification", "near-duplicates", "secret scan", "mixing sources to target weights", "packing"]
     at = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
-    kept = p.identify(spark, at, str(tmp_path))
-    assert kept.columns == at.columns and {160, 161, 162, 165, 172}.isdisjoint(r.doc_id for r in kept.collect())
-    assert p.run(spark, f"file://{tmp_path}").count() > 0
+    net = langid.fit(at)
+    kept = [r for r in rows for lang, score in [plain_language(net, r[1])] if lang != "und" and score >= p.LEAST_SCORE]
+    assert {r[0] for r in rows} - {r[0] for r in kept} >= {160, 161, 162, 165, 172} and len(kept) > 60
+    # one row of the smallest doc_id for each group
+    sets, groups = [shingle_set(r[1]) for r in kept], []
+    for i, r in enumerate(kept):
+        near = [g for g in groups if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in near] + [sum(near, [i])]
+    one = [min((kept[i] for i in g), key=lambda r: (r[0] is None, r[0] or 0)) for g in groups]
+    clean = []
+    for r in one:
+        out, end = "", 0
+        for a, _, e in brute_spans(r[1]):
+            out += (r[1][end:a] + "[SECRET]") if a >= end else ""
+            end = max(end, e)
+        clean.append((r[0], out + r[1][end:], r[3]))
+    want = plain_mix(clean)
+    stages = at
+    for name, stage in p.STAGES[:4]:
+        stages = stage(spark, stages, str(tmp_path))
+        assert stages.columns == at.columns
+    assert Counter((r.doc_id, r.text) for r in stages.collect()) == Counter(want)
+    tokenizer = Tokenizer.from_file(vocabulary)
+    ids = [(d, np.array([*tokenizer.encode(x, add_special_tokens=False).ids, 1], "<u4")) for d, x in want]
+    pieces = p.run(spark, f"file://{tmp_path}").collect()
+    assert sum(x.length for x in pieces) == sum(len(x) for _, x in ids)
+    told = {}
+    for d, x in ids:
+        told.setdefault((d, len(x)), []).append(x)
+    for x in pieces:
+        assert any(zlib.crc32(y[x.start : x.start + x.length].tobytes()) == x.ids_crc32 for y in told[x.doc_id, x.doc_tokens])
 
 
 def test_pipeline_without_labels(spark):
