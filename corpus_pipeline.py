@@ -1,4 +1,13 @@
-"""The training corpus, from documents to packed sequences, stage by stage."""
+"""The training corpus, from documents to packed sequences, stage by stage.
+
+Defined results. Language: a null or empty text, or one without letters, goes; a null lang isn't learned from. Near
+duplicates: documents without words stay, of each other group one row stays, that of the smallest doc_id, and of equal
+rows the first by their content. Secrets: null and empty texts stay as they are. Mix: documents without words, which
+language identification has rejected already, aren't taken; a null source is a source of its own; repeated rows are
+separate documents. Packing: a null text is its closing id alone; null doc_ids stay null. Very long texts go through each
+stage whole, an empty table through all of them, and columns besides those of documents are carried along to the mix,
+whatever they are called.
+"""
 
 from __future__ import annotations
 
