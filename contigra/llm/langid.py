@@ -7,8 +7,9 @@ bounded sample of labelled texts. A whole text is cut into windows, and its lang
 over all of them. At prediction a filter's responses are read from tables by pairs of symbols: the same sums, made once.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled row all are `und`;
-with one language it is always predicted; a null doc_id counts as held out; repeated rows are predicted alike; an empty
-table gives no rows; lang, source and doc_id take no part in a prediction.
+with one language it is always predicted; languages of one probability go by name; a very long text is predicted from all
+of its windows; a null doc_id counts as held out; repeated rows are predicted alike; an empty table gives no rows; lang,
+source and doc_id take no part in a prediction; other columns are carried along in a struct, whatever they are called.
 """
 
 from __future__ import annotations

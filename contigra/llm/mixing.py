@@ -6,9 +6,13 @@ sources; a slot's rank among its source's slots names the block that it takes, s
 mixed as the targets ask. Running positions are two-level sums (buckets of the order, then rows of a bucket), so that no
 task holds a whole source.
 
+Windows without a partition go over sources, or over the few slots by which the schedule's numbers are made exact: as many
+rows as sources, whatever the documents.
+
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in the
-order; repeated rows are separate documents; a null doc_id takes part like any other; an empty table gives no rows;
-columns other than doc_id, text and source are ignored.
+order; a very long text goes through many blocks; documents of one md5 go by doc_id and size; repeated rows are separate
+documents; a null doc_id takes part like any other; an empty table gives no rows; columns other than doc_id, text and
+source are ignored, whatever they are called.
 """
 
 from __future__ import annotations

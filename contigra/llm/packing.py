@@ -6,8 +6,10 @@ tokens costs linear * n + quadratic * n * n (attention within a document); in a
 the sequence of the lowest cost so far that has room, and a piece that fits nowhere is cut. A block opens no more
 sequences than its tokens need, so padding is less than one sequence a block.
 
-Defined results: a null text counts as empty and still has the closing id; repeated rows are packed as often as they
-come; a null doc_id stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
+Defined results: a null text counts as empty and still has the closing id; a very long text is tokenised in stretches and
+leaves as full sequences; pieces of one length go by doc_id and then by their ids' check sum, sequences of one cost by
+number; repeated rows are packed as often as they come; a null doc_id stays null; an empty table gives no rows; columns
+other than doc_id and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ scored where they lie; no text is shuffled.
 
 Defined results: a null text counts as empty; null metadata are values of their own; a document with several label rows
 has the rounded mean, ties low; without labels of both kinds every score is the share of good ones (0.5 without any) and
-all are kept; a null doc_id is scored like any other; equal rows get equal scores; an empty table gives no rows.
+all are kept; a very long text's features are those of all of it; rows of one margin go by a hash of what they hold; a null
+doc_id is scored like any other; equal rows get equal scores; an empty table gives no rows; columns other than doc_id,
+text, source, lang and n_chars are ignored, whatever they are called.
 """
 
 from __future__ import annotations
