@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from ..storage import drop, new_path, shared_dir, stored
 
-__all__ = ["drop", "encoded", "gram_hashes", "mixed", "new_path", "shared_dir", "slices", "stored"]
+__all__ = ["drop", "encoded", "gram_hashes", "mixed", "new_path", "shared_dir", "slices", "stored", "word_hash"]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -32,6 +32,10 @@ def encoded(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+
+
 class WordHash(dict):
     """64-bit hash by word, kept for up to limit words: some 15 MB of short ones."""
 
@@ -40,7 +44,7 @@ class WordHash(dict):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        value = word_hash(word)
         if len(word) <= 64:  # a long word is rare, and only its hash is small
             if len(self) >= self.limit:
                 self.clear()

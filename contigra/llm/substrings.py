@@ -11,10 +11,15 @@ others hold; its places are told at once, and it travels once, marked as repeate
 documents costs its bucket one string for each run of documents. A bucket gets packed strings of many super-k-mers
 together, compressed, with a dictionary of their words; buckets follow the size of the input.
 
+A passage that many documents share with different words around it would send all windows over its ends to the buckets of
+a few minimisers. Minimisers that more than one in COMMON of the documents of a bounded sample have are common: a window
+with one of these is a super-k-mer of its own, whose bucket its first and last runs of words choose too. That is advice on
+where to send what; equal windows meet whatever the sample holds, and all are counted.
+
 Defined results: a null or empty text has no words; a text of fewer words than a window keeps all; rows that are equal
 in doc_id and text are separate documents, so their windows are repeated; a very long text is cut into stretches that
 overlap by a window less one word; a null doc_id is a doc_id like any other; an empty table gives no rows; columns other
-than doc_id and text are ignored.
+than doc_id and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, gram_hashes, mixed, slices
+from .common import WordHash, encoded, gram_hashes, mixed, slices, word_hash
 
 _SENT = "bucket long, blob binary, doc_id long, sha long, places binary"
 _STRETCH, _FREQUENT = 1 << 18, 256
+#: Documents of the sample that tells common minimisers, about; the share of them, and the number, from which one is common.
+SAMPLED, COMMON, LEAST_COMMON = 20_000, 128, 32
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 _KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -71,19 +77,48 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of each run of consecutive windows with one minimiser, in stretches of
-    words that stand one after the other; sizes: their numbers of words, each a window's at least."""
-    least = sliding_least(gram_hashes(hashes, gram), window - gram + 1)
+    words that stand one after the other; sizes: their numbers of words, each a window's at least. A window whose minimiser
+    is one of `common` (sorted) is a run of its own, and its first and last grams' hashes go into its minimiser."""
+    grams = gram_hashes(hashes, gram)
+    least = sliding_least(grams, window - gram + 1)
     ends = np.cumsum(sizes)
     own = spread(ends - sizes, sizes - window + 1)  # windows that don't reach over an end
     value = least[own]
     new = np.ones(len(own), bool)
     new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1] + 1)
+    if common is not None and len(common):
+        alone = common[np.minimum(np.searchsorted(common, value), len(common) - 1)] == value
+        new |= alone
+        new[1:] |= alone[:-1]
+        at = own[alone]
+        value[alone] = mixed(value[alone] + mixed(grams[at]) + mixed(grams[at + window - gram] + np.uint64(1)))
     first = np.flatnonzero(new)
     return own[first], np.diff(np.append(first, len(own))), value[first]
 
 
+def common_minimisers(docs: DataFrame, count: int, window: int, gram: int) -> np.ndarray:
+    """The minimisers, sorted, that more than one in COMMON documents of a sample of about SAMPLED have."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                out = [np.empty(0, np.uint64)]
+                for text in encoded(batch.column("text")):
+                    hashes = known.of((text or b"").split())
+                    if len(hashes) >= window:
+                        out.append(np.unique(super_kmers(hashes, np.array([len(hashes)]), window, gram)[2]))
+                found, times = np.unique(np.concatenate(out), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["minimiser", "n"])
+
+    drawn = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=min(1.0, SAMPLED / max(1, count)), seed=5)
+    least = max(LEAST_COMMON, min(SAMPLED, count) / COMMON)
+    found = drawn.mapInArrow(told, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    return np.sort(np.array([r["minimiser"] for r in found], np.int64).view(np.uint64))
+
+
 def packed(ids: np.ndarray, lengths: np.ndarray, words: list[bytes], twice: np.ndarray, documents: list[tuple[int | None, int]], owner: np.ndarray, places: np.ndarray) -> bytes:
     """Super-k-mers with their words as one compressed string. ids: all their words, as places in `words`.
 
@@ -150,8 +185,9 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
     """doc_id, sha (a 64-bit hash of the text) and places: packed (first window, windows) of windows that start anywhere else
     too, in many rows a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sha"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
+    size, count = docs.agg(F.sum(F.octet_length("text")), F.count("text")).first()
+    buckets = max(1, -(-(size or 0) // bucket_bytes))
+    common = common_minimisers(docs, count, window, gram)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(texts: list[tuple[int | None, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +208,8 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
                 return
             words, every, sizes = list(index), np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
             del parts, index
-            hashes = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words), np.uint64, len(words))[every]
-            first, count, least = super_kmers(hashes, sizes, window, gram)
+            hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))[every]
+            first, count, least = super_kmers(hashes, sizes, window, gram, common)
             length, begins = count + window - 1, np.cumsum(sizes) - sizes
             stretch = np.searchsorted(begins, first, "right") - 1
             owner, place = np.array(owners)[stretch], np.array(offsets)[stretch] + first - begins[stretch]

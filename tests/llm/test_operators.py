@@ -290,6 +290,27 @@ def test_substrings_stretches(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == brute_substrings(rows)
 
 
+def test_substrings_of_common_passages(spark, monkeypatch):
+    rng = random.Random(19)
+    passage, edge = prose(rng, 50), prose(rng, 6)
+    rows = [(i, f"{prose(rng, 40)} {edge if i % 9 == 0 else ''} {passage} {edge if i % 7 == 0 else ''} {prose(rng, 40)}") for i in range(120)] + [(500 + i, prose(rng, 120)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found, real = [], substrings.common_minimisers
+    monkeypatch.setattr(substrings, "common_minimisers", lambda *how: found.append(real(*how)) or found[-1])
+    for sampled in (20_000, 60, 1):
+        monkeypatch.setattr(substrings, "SAMPLED", sampled)
+        monkeypatch.setattr(substrings, "LEAST_COMMON", 20 if sampled > 1 else 10**6)
+        got = substrings.deduplicated(df, run_bytes=6000, bucket_bytes=4000).drop("kept").collect()
+        assert Counter(tuple(r) for r in got) == brute_substrings(rows)
+    assert len(found[0]) and len(found[1]) and not len(found[2])
+    # a common minimiser's windows go to many places, others' as they did
+    words = [w.encode() for w in rows[0][1].split()]
+    hashes = np.array([substrings.word_hash(w) for w in words], np.uint64)
+    plain, split = (substrings.super_kmers(hashes, np.array([len(words)]), 35, 4, c) for c in (None, found[0]))
+    assert plain[1].sum() == split[1].sum() == len(words) - 34 and len(split[0]) > len(plain[0])
+    assert set(split[2]) & set(found[0]) == set()
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substrings, "span_hashes", lambda h, s, n: np.zeros(len(s), np.uint64))
     ids = np.array([0, 1, 2, 3, 0, 1, 2, 4], np.int32)
