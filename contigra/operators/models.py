@@ -38,12 +38,16 @@ def branch_attention(w: Column, marker: Sequence[Column], sequence: Sequence[Col
     return softmax(dense(mean, p.kernel, p.bias), p.temperature)
 
 
-def aggregated_scores(marker: DataFrame, sequence: DataFrame, weights: DataFrame, p: Attention) -> DataFrame:
-    """name and scores of both branches' tables (name, three scores), joined by name, and weights (name, w)."""
+def joined_scores(marker: DataFrame, sequence: DataFrame, weights: DataFrame) -> DataFrame:
+    """name, w, and the scores of both branches' tables (name, three scores) as m_* and s_*, of names that all three have."""
     a, b = (t.select("name", *[F.col(c).alias(f"{x}{c}") for c in SCORES]) for t, x in ((marker, "m_"), (sequence, "s_")))
-    rows = a.join(b, "name").join(weights, "name")
+    return a.join(b, "name").join(weights, "name")
+
+
+def aggregated_scores(marker: DataFrame, sequence: DataFrame, weights: DataFrame, p: Attention) -> DataFrame:
+    """name and scores of both branches' tables, joined by name, and weights (name, w)."""
     out = branch_attention(F.col("w"), [F.col(f"m_{c}") for c in SCORES], [F.col(f"s_{c}") for c in SCORES], p)
-    return rows.select("name", *[x.alias(c) for x, c in zip(out, SCORES, strict=True)])
+    return joined_scores(marker, sequence, weights).select("name", *[x.alias(c) for x, c in zip(out, SCORES, strict=True)])
 
 
 #: Compositions (chromosome, plasmid, virus) by preset and model: fixed values.

@@ -109,12 +109,17 @@ def joined_notes(genes: DataFrame, name: str, note: str) -> DataFrame:
 def plasmid_report(chosen: DataFrame, dims: DataFrame, genes: DataFrame) -> DataFrame:
     """Plasmids with length, topology, genes, code, hallmarks, enrichment, conjugation and resistance genes. dims: name, topology,
     genetic_code; genes: name, gene_num, conjscan, amr."""
-    out = chosen.join(dims, "name", "left").join(joined_notes(genes, "name", "conjscan"), "name", "left").join(joined_notes(genes, "name", "amr"), "name", "left")
+    out = with_dimensions(chosen, dims).join(joined_notes(genes, "name", "conjscan"), "name", "left").join(joined_notes(genes, "name", "amr"), "name", "left")
     return out.select(F.col("name").alias("seq_name"), "length", "topology", "n_genes", "genetic_code", F.col("score_p").alias("plasmid_score"), "fdr", F.col("n_plasmid_hallmarks").alias("n_hallmarks"), F.col("enrichment_p").alias("marker_enrichment"), F.col("conjscan").alias("conjugation_genes"), F.col("amr").alias("amr_genes"))
 
 
+def with_dimensions(chosen: DataFrame, dims: DataFrame) -> DataFrame:
+    """Chosen sequences with their topology, genetic code and coordinates, null where dims (by name) lacks them."""
+    return chosen.join(dims, "name", "left")
+
+
 def virus_report(chosen: DataFrame, dims: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Viruses with length, topology, coordinates, genes, code, hallmarks, enrichment and lineage, `Unclassified` without one.
     dims: name, topology, genetic_code, coordinates; taxonomy: name, lineage."""
-    out = chosen.join(dims, "name", "left").join(taxonomy.select("name", "lineage"), "name", "left")
+    out = with_dimensions(chosen, dims).join(taxonomy.select("name", "lineage"), "name", "left")
     return out.select(F.col("name").alias("seq_name"), "length", "topology", "coordinates", "n_genes", "genetic_code", F.col("score_v").alias("virus_score"), "fdr", F.col("n_virus_hallmarks").alias("n_hallmarks"), F.col("enrichment_v").alias("marker_enrichment"), F.coalesce("lineage", F.lit("Unclassified")).alias("taxonomy"))

@@ -597,12 +597,18 @@ def score_tables(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     return a, b, rows.select("name", ((F.col("contig") % 11).cast("double") / 16).alias("w"))
 
 
-for _name in ("score_aggregation", "jn_scores"):
+@query("score_aggregation", ATT_SQL.replace("select contig, round(exp", "select cast(contig as varchar) as name, round(exp"))
+def _(v: Views) -> DataFrame:
+    out = models.aggregated_scores(*score_tables(v), ATTENTION)
+    return out.select("name", *[r(c).alias(c) for c in models.SCORES])
 
-    @query(_name, ATT_SQL.replace("select contig, round(exp", "select cast(contig as varchar) as name, round(exp"))
-    def _(v: Views) -> DataFrame:
-        out = models.aggregated_scores(*score_tables(v), ATTENTION)
-        return out.select("name", *[r(c).alias(c) for c in models.SCORES])
+
+@query("jn_scores", br_sql(f"select cast(contig as varchar) as name, {WEIGHT} as w, " + ", ".join(f"round({x}{i}, 6) as {x}_{c}" for x in "ms" for i, c in enumerate(models.SCORES)) + " from br where contig % 3 <> 0 and contig % 5 <> 0"))
+def _(v: Views) -> DataFrame:
+    marker, sequence, weights = score_tables(v)
+    n = F.col("name").cast("long")
+    out = models.joined_scores(marker.where(n % 3 != 0), sequence.where(n % 5 != 0), weights)
+    return out.select("name", "w", *[r(f"{x}_{c}").alias(f"{x}_{c}") for x in "ms" for c in models.SCORES])
 
 
 def calibrate_sql() -> str:
@@ -1024,11 +1030,15 @@ def virus_rows(v: Views) -> DataFrame:
     return out.withColumns({c: r(c) for c in ("virus_score", "fdr", "marker_enrichment")} | {"genetic_code": F.col("genetic_code").cast("string")})
 
 
-for _name in ("virus_report", "jn_summary_dims"):
+@query("virus_report", report_sql(f"{DIMS},\n{TAXTEXT},\n{flagged_sql(select.VIRUS)}\nselect fl.name as seq_name, length, topology, coordinates, n_genes, cast(genetic_code as varchar) as genetic_code, round(score_v, 6) as virus_score, round(fdr, 6) as fdr, n_virus_hallmarks as n_hallmarks, round(enrichment_v, 6) as marker_enrichment, coalesce(lineage, 'Unclassified') as taxonomy from fl left join dims on fl.name = dims.name left join tx on fl.name = tx.name"))
+def _(v: Views) -> DataFrame:
+    return virus_rows(v)
 
-    @query(_name, report_sql(f"{DIMS},\n{TAXTEXT},\n{flagged_sql(select.VIRUS)}\nselect fl.name as seq_name, length, topology, coordinates, n_genes, cast(genetic_code as varchar) as genetic_code, round(score_v, 6) as virus_score, round(fdr, 6) as fdr, n_virus_hallmarks as n_hallmarks, round(enrichment_v, 6) as marker_enrichment, coalesce(lineage, 'Unclassified') as taxonomy from fl left join dims on fl.name = dims.name left join tx on fl.name = tx.name"))
-    def _(v: Views) -> DataFrame:
-        return virus_rows(v)
+
+@query("jn_summary_dims", report_sql(f"{DIMS},\n{flagged_sql(select.VIRUS)}\nselect fl.name, topology, coordinates, genetic_code is null as unknown from fl left join dims on fl.name = dims.name"))
+def _(v: Views) -> DataFrame:
+    chosen = select.flag_sequences(candidates_of(v), select.VIRUS, FILTERS)
+    return select.with_dimensions(chosen, dims_of(v)).select("name", "topology", "coordinates", F.col("genetic_code").isNull().alias("unknown"))
 
 
 @query("plasmid_report", report_sql(f"{DIMS},\n{GM},\n{flagged_sql(select.PLASMID)},\nnotes as (select cast(contig as varchar) as name, string_agg(conjscan, ';' order by gene_num) as cj, string_agg(amr, ';' order by gene_num) as am from gm group by 1)\nselect fl.name as seq_name, length, topology, n_genes, cast(genetic_code as varchar) as genetic_code, round(score_p, 6) as plasmid_score, round(fdr, 6) as fdr, n_plasmid_hallmarks as n_hallmarks, round(enrichment_p, 6) as marker_enrichment, cj as conjugation_genes, am as amr_genes from fl left join dims on fl.name = dims.name left join notes on fl.name = notes.name"))
