@@ -184,7 +184,7 @@ def unblocked(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 
 def extended_intervals(genes: DataFrame, features: DataFrame, most: int, label: str = "label") -> DataFrame:
     """intervals() with the boundaries that features move, and moved: whether one did."""
-    found = intervals(genes, label)
+    found = stored(intervals(genes, label), "provirus-intervals")
     near = nearest_pairs(found, features).where((F.col("d") != 0) & (F.abs("d") <= most))
     shift = unblocked(near, genes).select("contig", "idx", "d")
     out = found.join(shift, ["contig", "idx"], "left")
@@ -211,9 +211,15 @@ def trna_features(trnas: DataFrame) -> DataFrame:
     return trnas.select("contig", F.col("trna_id").cast("long").alias("fid"), F.col("trna_start").alias("f_start"), F.col("trna_end").alias("f_end"))
 
 
+#: What extension and calls need of genes, besides the label.
+NEEDED = ("contig", "gene_num", "gene_start", "gene_end", "cls", "spm_c", "spm_v", "integrase")
+
+
 def extended_edges(genes: DataFrame, trnas: DataFrame | None, label: str = "label", to_integrase: int = MOST_TO_INTEGRASE, to_trna: int = MOST_TO_TRNA) -> DataFrame:
-    """Extension to integrases, then to tRNAs. Labels are written between the steps, as each step reads them several times."""
-    out = extended(genes := stored(genes, "provirus-labels"), integrase_features(genes), to_integrase, label)
+    """Extension to integrases, then to tRNAs, of the columns NEEDED and the label. Labels are written between the steps, as each
+    step reads them several times."""
+    genes = stored(genes.select(*NEEDED, label), "provirus-labels")
+    out = extended(genes, integrase_features(genes), to_integrase, label)
     return out if trnas is None else extended(stored(out, "provirus-labels"), trna_features(trnas), to_trna, label)
 
 

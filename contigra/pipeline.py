@@ -148,18 +148,24 @@ class Project:
             "summary": asdict(o.filters),
         }.get(module, {})
 
-    def told(self, module: str) -> dict:
+    def told(self, module: str, known: dict | None = None) -> dict:
         """What a module's result follows from: the names, sizes and times of its inputs' files, the content of its models, its
-        parameters, and the same of the modules before it."""
-        inputs, trained, before = NEEDS[module]
-        found = {x: listing(self.spark, getattr(self.inputs, x)) for x in inputs if getattr(self.inputs, x)}
-        after = {m: hashlib.sha256(json.dumps(self.told(m), sort_keys=True, default=str).encode()).hexdigest() for m in before if self.runs(m)}
-        return {"inputs": content(found), "models": {x: content(getattr(self.models, x)) for x in trained}, "after": after, **self.parameters(module)}
+        parameters, and the same of the modules before it. known: what is told already, by module and input."""
+        known = {} if known is None else known
+        if module not in known:
+            inputs, trained, before = NEEDS[module]
+            for x in inputs:
+                if f"input {x}" not in known:
+                    path = getattr(self.inputs, x)
+                    known[f"input {x}"] = listing(self.spark, path) if path else None
+            after = {m: hashlib.sha256(json.dumps(self.told(m, known), sort_keys=True, default=str).encode()).hexdigest() for m in before if self.runs(m)}
+            known[module] = {"inputs": content([known[f"input {x}"] for x in inputs]), "models": {x: content(getattr(self.models, x)) for x in trained}, "after": after, **self.parameters(module)}
+        return known[module]
 
     def step(self, module: str, make: Callable[[], dict[str, DataFrame]], restart: bool = False) -> dict[str, DataFrame]:
         """The tables of a module: read, if its manifest is up to date, else made and written."""
         at, what = self.path(module, "manifest.json"), self.told(module)
-        told = files.manifest(module, self.inputs.contigs, what.pop("inputs"), what)
+        told = files.manifest(module, self.inputs.contigs, what["inputs"], {k: v for k, v in what.items() if k != "inputs"})
         if restart or not files.up_to_date(files.read_text(self.spark, at), told):
             with scratch(self.spark):
                 made = make()

@@ -368,3 +368,24 @@ def test_log(spark, tmp_path):
         log.info("two")
     for name in "ab":
         assert [x.partition("] ")[2] for x in (tmp_path / f"{name}.txt").read_text().splitlines()] == ["one", "two"]
+
+
+def test_runs_from_another_folder(tmp_path, inputs):
+    """Workers that haven't got the package on their path get it from the driver."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    given, _ = inputs
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from contigra.pipeline import Inputs, Project
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("genes:", Project(spark, {given!r}, "file://{tmp_path}/elsewhere").annotate()["genes"].count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "genes: 63" in done.stdout, done.stderr[-2000:]
