@@ -119,16 +119,20 @@ def common_minimisers(docs: DataFrame, count: int, window: int, gram: int) -> np
     return np.sort(np.array([r["minimiser"] for r in found], np.int64).view(np.uint64))
 
 
-def packed(ids: np.ndarray, lengths: np.ndarray, words: list[bytes], twice: np.ndarray, documents: list[tuple[int | None, int]], owner: np.ndarray, places: np.ndarray) -> bytes:
-    """Super-k-mers with their words as one compressed string. ids: all their words, as places in `words`.
+def packed(ids: np.ndarray, lengths: np.ndarray, words: list[bytes], rank: np.ndarray, twice: np.ndarray, documents: list[tuple[int | None, int]], owner: np.ndarray, places: np.ndarray) -> bytes:
+    """Super-k-mers with their words as one compressed string. ids: all their words, as places in `words`; rank: of each word,
+    its place among the sorted ones.
 
     The dictionary has the most frequent words first, the others sorted, and the ids' low and high bytes stand apart, as
     they compress better."""
     counts = np.bincount(ids, minlength=len(words))
-    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].tolist()
-    order[_FREQUENT:] = sorted(order[_FREQUENT:], key=words.__getitem__)
+    order = np.flatnonzero(counts)
+    order = order[np.argsort(-counts[order], kind="stable")]
+    rare = order[_FREQUENT:]
+    order[_FREQUENT:] = rare[np.argsort(rank[rare])]
     local = np.empty(len(words), "<u4")
     local[order] = np.arange(len(order), dtype="<u4")
+    order = order.tolist()
     planes = local[ids].view(np.uint8).reshape(-1, 4)[:, : 2 if len(order) <= 1 << 16 else 4].T
     own, place = np.unique(owner, return_inverse=True)
     of = [documents[o] for o in own.tolist()]
@@ -206,7 +210,10 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
                 documents.append((doc, sha))
             if not parts:
                 return
-            words, every, sizes = list(index), np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            words = list(index)
+            rank = np.empty(len(words), np.int32)
+            rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words), dtype=np.int32)
+            every, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
             del parts, index
             hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))[every]
             first, count, least = super_kmers(hashes, sizes, window, gram, common)
@@ -234,7 +241,7 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
             order = order[np.argsort(bucket[order], kind="stable")]
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for some in np.split(order, cuts):
-                blob = packed(every[spread(first[some], length[some])], length[some], words, twice[some], documents, owner[some], place[some])
+                blob = packed(every[spread(first[some], length[some])], length[some], words, rank, twice[some], documents, owner[some], place[some])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([int(bucket[some[0]])], [blob], [None], [None], [None]), _KINDS, strict=True)], _NAMES)
             out = [(o % buckets, None, *documents[o], np.array(x, "<u8").tobytes()) for o, x in told.items()]
             if out:
