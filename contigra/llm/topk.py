@@ -4,8 +4,8 @@ A bounded number of pivots, rows of the data, part the space: every vector belon
 summary (rows, radius, largest norm) bounds what any query can score in it: q.x <= q.p + |q| radius and q.x <= |q| norm.
 Queries are grouped by their own cells, in groups of bounded size; each query has a floor, the k-th best score among the
 pivots and among the lower bounds q.p - |q| radius of whole cells. A cell whose bound is under the floors of all of a
-group's queries is of no use to the group; the others' rows are sent to it, in blocks of bounded size, and each pair of
-a query group and a block is solved by one matrix product. The best of all blocks are merged for each query. The floors
+group's queries is of no use to the group; the others' rows are sent to it, in blocks of bounded size (parts of a large
+cell, or several small ones), and each pair of a query group and a block is solved by one matrix product. The best of all blocks are merged for each query. The floors
 are scores that k rows really reach, so the result is exact; bounds leave room for rounding, and one that isn't finite
 excludes nothing.
 
@@ -50,19 +50,19 @@ def whole_numbers(x: np.ndarray, scale: int) -> bytes:
     return b"\4" + y.astype("<i4").tobytes() if (np.abs(y) < 2**31).all() else b"\10" + y.astype("<f8").tobytes()
 
 
-def grouped(middle: np.ndarray, queries: list[int], most: int) -> list[tuple[int, int]]:
-    """For each cell the first of its query groups and their number. Cells in the order of their main direction share a
-    group as long as it has at most `most` queries; a cell of more has groups of its own."""
+def grouped(middle: np.ndarray, rows: list[int], most: int) -> list[tuple[int, int]]:
+    """For each cell the first of its groups and their number. Cells in the order of their main direction share a group as
+    long as it has at most `most` rows; a cell of more has groups of its own."""
     size = max(1.0, np.abs(middle).max(initial=0))
     spread = middle / size - (middle / size).mean(axis=0)
     order = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")
-    out, group, held = [(0, 1)] * len(queries), 0, 0
+    out, group, held = [(0, 1)] * len(rows), 0, 0
     for c in order.tolist():
-        if held and held + queries[c] > most:
+        if held and held + rows[c] > most:
             group, held = group + 1, 0
-        parts = max(1, -(-queries[c] // most))
+        parts = max(1, -(-rows[c] // most))
         out[c] = (group, parts)
-        held += queries[c]
+        held += rows[c]
         if parts > 1:
             group, held = group + parts, 0
     return out
@@ -140,9 +140,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pi
     found = cells.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max("distance").alias("radius"), F.max("norm").alias("norm"), F.count_if(is_query).alias("queries")).orderBy("cell").collect()
     known = np.array([r["cell"] for r in found])
     middle, ids, radius, norm = centres[known], *(np.array([r[x] for r in found], np.float64) for x in ("ids", "radius", "norm"))
-    blocks = np.array([-(-r["n"] // block_rows) for r in found], np.int64)
-    groups = grouped(middle, [r["queries"] for r in found], group_rows)
+    groups, blocks = grouped(middle, [r["queries"] for r in found], group_rows), grouped(middle, [r["n"] for r in found], block_rows)
     place = {c: i for i, c in enumerate(known.tolist())}
+    routed = pa.list_(pa.struct([("first", pa.int64()), ("parts", pa.int64())]))
 
     def needed(query: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each cell can hold one of a query's best, and the query's floor."""
@@ -170,14 +170,17 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pi
                 use, floor = needed(batch.column("vec_id").to_numpy(), matrix(encoded(batch.column("v")), width))
                 at = [place[c] for c in batch.column("cell").to_pylist()]
                 group = [groups[p][0] + s % groups[p][1] for p, s in zip(at, batch.column("salt").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), batch.column("vec_id"), batch.column("v"), pa.array(floor), pa.array([known[np.flatnonzero(u)].tolist() for u in use], pa.list_(pa.int32()))], ["grp", "id", "v", "floor", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), batch.column("vec_id"), batch.column("v"), pa.array(floor), pa.array([[{"first": f, "parts": n} for f, n in {blocks[i] for i in np.flatnonzero(u).tolist()}] for u in use], routed)], ["grp", "id", "v", "floor", "routes"])
 
     queries = cells.where(is_query).select("vec_id", "v", "cell", "salt")
-    asked = stored(queries.mapInArrow(asking, "grp long, id long, v binary, floor double, cells array<int>"), "topk-queries")
-    parts = spark.createDataFrame(list(zip(known.tolist(), blocks.tolist(), strict=True)), "cell int, blocks long")
-    routes = asked.select("grp", F.explode("cells").alias("cell")).distinct().join(parts, "cell")
-    data = cells.join(routes, "cell").select("grp", "cell", F.pmod("salt", "blocks").alias("block"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"))
-    sent = asked.select("grp", F.explode("cells").alias("cell"), "id", "v", "floor").join(parts, "cell").select("grp", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v", "floor")
+    asked = stored(queries.mapInArrow(asking, "grp long, id long, v binary, floor double, routes array<struct<first:bigint,parts:bigint>>"), "topk-queries")
+    # a row for each cell, most_pivots at most
+    place_of = F.broadcast(spark.createDataFrame([(c, *b) for c, b in zip(known.tolist(), blocks, strict=True)], "cell int, first long, parts long"))
+    routes = asked.select("grp", F.inline("routes")).select("grp", "first").distinct()
+    data = cells.join(place_of, "cell").join(routes, "first").select("grp", (F.col("first") + F.pmod("salt", "parts")).alias("block"), F.col("vec_id").alias("id"), "v", F.lit(None).cast("double").alias("floor"))
+    # nothing is joined to the queries here: their copies are many, and no table's size tells how many
+    copies = asked.select("grp", "id", "v", "floor", F.inline("routes"))
+    sent = copies.select("grp", F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block"), "id", "v", "floor")
 
     def solved(met: pa.Table) -> pa.Table:
         flag = met["floor"].is_valid()
@@ -200,7 +203,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pi
                             out += [(query, int(at[j]), score if score >= -(1 << 63) else None)] * min(mark - len(out), asks[ask] * times[j])
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), zip(*out, strict=True) if out else ((), (), ()), strict=True)})
 
-    found_pairs = sent.unionByName(data).groupBy("grp", "cell", "block").applyInArrow(solved, "query_id long, vec_id long, score long")
+    found_pairs = sent.unionByName(data).groupBy("grp", "block").applyInArrow(solved, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id"))
     held = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score is too large for a long")).cast("long")).otherwise(F.col("score"))
     return found_pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
