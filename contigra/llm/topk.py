@@ -102,12 +102,13 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], ~score[place]))][:k]
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int | None = None, most_pivots: int = 4096, block_rows: int = 8192, group_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int | None = None, most_pivots: int = 4096, block_rows: int | None = None, group_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each vector whose vec_id is divisible by `every`, the k rows of the highest
     integer inner product of floor(scale * component), ties to the smaller vec_id.
 
-    pivots: cells of the space; unless said, the square root of the rows, 64 at least and most_pivots at most. block_rows: rows
-    of a cell, about, that are solved at once, against about group_rows queries."""
+    pivots: cells of the space; unless said, the square root of the rows, 64 at least and most_pivots at most. block_rows: rows,
+    about, that are solved at once, against about group_rows queries; unless said, a 64th of all, 1024 at least and at most
+    16384 or what 32 MB hold."""
     spark = vectors.sparkSession
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     valid = source.where("vec_id is not null and embedding is not null").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
@@ -116,6 +117,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pi
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, width)
     cells_most = pivots or min(most_pivots, max(64, math.isqrt(rows)))
+    block_rows = block_rows or max(1, min(16384, (1 << 22) // width, max(1024, rows // 64)))
     drawn = {r["vec_id"]: list(r["embedding"]) for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(cells_most).collect()}
     pivot_ids = np.array(list(drawn), np.int64)
     centres = matrix([whole_numbers(np.array(x, np.float64), scale) for x in drawn.values()], width)
