@@ -289,7 +289,11 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = 4, bucket_bytes: int
             told += [(*documents[o], np.array(x, "<u8").tobytes()) for o, x in to.items()]
         return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "sha", "places"), zip(*told, strict=True) if told else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
-    return rows.mapInArrow(sent, _SENT).groupBy("bucket").applyInArrow(counted, "doc_id long, sha long, places binary")
+    # buckets are dealt to tasks by number, each task as many: by a hash some tasks would get several and others none
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-buckets // -(-buckets // tasks))
+    dealt = rows.mapInArrow(sent, _SENT).withColumn("part", (F.col("bucket") % parts).cast("int")).repartitionById(parts, "part")
+    return dealt.groupBy("part", "bucket").applyInArrow(counted, "doc_id long, sha long, places binary")
 
 
 def deduplicated(docs: DataFrame, window: int = 35, **how: int) -> DataFrame:
