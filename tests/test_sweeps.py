@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contigra import storage
-from contigra.operators import provirus, taxonomy
+from contigra.operators import order, provirus, taxonomy
 from contigra.operators.order import numbered
+from contigra.plans import queries
 
 
 def random_contigs(seed):
@@ -104,3 +105,10 @@ def test_scratch_is_removed(spark, tmp_path):
     assert not storage.listing(spark, path) and kept.count() == 5
     (tmp_path / "a").write_text("abc")
     assert [(p.rsplit("/", 1)[1], n) for p, n, _ in storage.listing(spark, f"file://{tmp_path}/*")] == [("a", 3)]
+
+
+@pytest.mark.parametrize("name", ["provirus_smoothing", "flt_provirus_score"])
+def test_tasks_follow_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(order, "ROWS", 200)
+    # the 6000 genes come in 30 tasks, and not in those into which Spark joins their few bytes
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 30
