@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import sequence as S
 from .operators import annotate, features, models, provirus, select, taxonomy, tokens
+from .operators.order import dealt
 from .sinks import files
 from .sources import fasta, parameters, tables
 from .storage import listing, scratch, ship, stored
@@ -239,7 +240,7 @@ class Project:
             rows = self.featured()
             targets = rows.join(provirus.target_contigs(rows), "contig", "left_semi")
             scored = stored(models.gene_scores(targets, chain), "provirus-scores")
-            labels = provirus.smoothed(provirus.initial_labels(scored, F.col("crf_score"), o.crf_threshold))
+            labels = provirus.smoothed(provirus.initial_labels(dealt(scored, scored.count(), "contig"), F.col("crf_score"), o.crf_threshold))
             labels = provirus.extended_edges(labels, self.trnas(), to_integrase=o.max_integrase_distance, to_trna=o.max_trna_distance)
             calls = provirus.calls(labels, limits=o.limits)
             name = N.provirus_name(F.col("contig"), F.col("p_start"), F.col("p_end"))

@@ -107,8 +107,14 @@ def test_scratch_is_removed(spark, tmp_path):
     assert [(p.rsplit("/", 1)[1], n) for p, n, _ in storage.listing(spark, f"file://{tmp_path}/*")] == [("a", 3)]
 
 
-@pytest.mark.parametrize("name", ["provirus_smoothing", "flt_provirus_score"])
+@pytest.mark.parametrize("name", ["provirus_smoothing", "flt_provirus_score", "provirus_extension", "jn_range_provirus"])
 def test_tasks_follow_rows(spark, monkeypatch, name):
     monkeypatch.setattr(order, "ROWS", 200)
     # the 6000 genes come in 30 tasks, and not in those into which Spark joins their few bytes
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 30
+
+
+@pytest.mark.parametrize("name", ["jn_nearest_feature", "jn_block_anti"])
+def test_genes_are_labelled_once(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "provirus-intervals" in plan
