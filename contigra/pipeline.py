@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import sequence as S
-from .operators import annotate, features, models, provirus, select, taxonomy, tokens
+from .operators import annotate, features, models, provirus, select, taxonomy
 from .operators.order import dealt
 from .sinks import files
 from .sources import fasta, parameters, tables
@@ -301,8 +301,8 @@ class Project:
                 seqs = seqs.unionByName(self.provirus_sequences())
             cut = seqs.select(F.col("seq_name").alias("contig"), F.explode(S.windows(S.strip_n(F.col("seq")), most=1 if self.options.single_window else None)).alias("w"))
             kept = cut.select("contig", "w.n", F.col("w.seq").alias("seq")).where(S.window_passes(F.col("n"), F.col("seq")))
-            read = tokens.kmer_tokens(kept.withColumn("seq", S.pad(S.upper(F.col("seq")))), "seq")
-            return {"scores": models.contig_scores(models.window_scores(read, network)).withColumnRenamed("contig", "name")}
+            padded = kept.withColumn("seq", S.pad(S.upper(F.col("seq"))))
+            return {"scores": models.contig_scores(models.window_scores(padded, network, seq="seq")).withColumnRenamed("contig", "name")}
 
         return self.step("nn_classification", make, restart)
 

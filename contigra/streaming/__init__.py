@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import models, tokens
+from ..operators import models
 
 
 def window_scores(seqs: DataFrame, network: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """contig, n and three scores of the windows of sequences (seq_name, seq), of a batch or a stream."""
     cut = seqs.select(F.col("seq_name").alias("contig"), F.explode(S.windows(S.strip_n(F.col("seq")))).alias("w"))
     kept = cut.select("contig", "w.n", F.col("w.seq").alias("seq")).where(S.window_passes(F.col("n"), F.col("seq")))
-    return models.window_scores(tokens.kmer_tokens(kept.withColumn("seq", S.pad(S.upper(F.col("seq")))), "seq"), network)
+    return models.window_scores(kept.withColumn("seq", S.pad(S.upper(F.col("seq")))), network, seq="seq")
 
 
 def described(seqs: DataFrame) -> DataFrame:

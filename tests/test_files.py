@@ -320,6 +320,21 @@ def test_network_place_by_place(spark):
     assert np.allclose(got["a"], want[:3].mean(axis=0)) and np.allclose(got["b"], want[3:].mean(axis=0))
 
 
+def test_window_scores_of_sequences(spark):
+    """Tokens are made where they are scored: one pass through Python, of few rows at a time, with the same scores."""
+    rng = np.random.default_rng(4)
+    seqs = ["".join(rng.choice(list("ACGTNacgt"), 40)) for _ in range(45)]
+    df = spark.createDataFrame([(f"c{i % 7}", i, s) for i, s in enumerate(seqs)], "contig string, n int, seq string")
+    scorer = lambda t: np.stack([(t * k).sum(axis=1) % 101 for k in (1, 2, 3)], axis=1)
+    apart = models.window_scores(tokens.kmer_tokens(df, "seq"), scorer)
+    whole = models.window_scores(df, scorer, seq="seq")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, apart.collect()))
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ragged = spark.createDataFrame([("a", 0, [1, 2]), ("a", 1, [3, 4, 5, 6])], "contig string, n int, tokens array<int>")
+    with pytest.raises(Exception, match="of one number"):
+        models.window_scores(ragged.coalesce(1), scorer).collect()
+
+
 def test_chains_side_by_side(spark, monkeypatch):
     rng = np.random.default_rng(3)
     lengths = np.array([1, 7, 3, 7, 1, 20, 2])
