@@ -367,6 +367,26 @@ def test_gene_headers(spark):
         tables.gene_headers(lines.selectExpr("'a_1 protein' as value")).collect()
 
 
+def test_gene_headers_of_odd_forms(spark):
+    """Names and pairs with marks of their own, missing keys, null; no map is made of pairs that aren't read."""
+    line = "{} # 5 # 90 # 1 # {}"
+    told = [
+        ("a # b_c_7", "gc_cont=0.5;xgc_cont=1;genetic_code=11;note;rbs_motif=a=b", ("b_c", 7, 5, 90, 1, "a=b", 11, 0.5)),
+        ("é_ü_8", "partial=00", ("é_ü", 8, 5, 90, 1, None, None, None)),
+        ("a_9", "x=1;x=2;;rbs_motif=;genetic_code=4", ("a", 9, 5, 90, 1, "", 4, None)),
+        ("a # # b_3", "gc_cont=1", ("# b", 3, 5, 90, 1, None, None, 1.0)),
+    ]
+    df = spark.createDataFrame([(line.format(n, x),) for n, x, _ in told], "value string")
+    out = tables.gene_headers(df)
+    assert [tuple(r) for r in out.collect()] == [w for _, _, w in told]
+    assert tuple(tables.gene_headers(spark.createDataFrame([(None,)], "value string")).first()) == (None,) * 8
+    for bad in ("a_1 # 2 # 3 # 1", "a_1 # # 2 # 3 # 1", "", "a_1 # 5 # 90 # 1 # gc_cont=1;gc_cont=2"):
+        with pytest.raises(Exception, match="not a gene finder's header|occurs twice"):
+            tables.gene_headers(spark.createDataFrame([(bad,)], "value string")).collect()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and "regexp" not in plan
+
+
 def test_trna_report(spark, tmp_path):
     (tmp_path / "r").write_text(">c|1 x\n3 genes found\n1   tRNA-Ala   c[90,20]  \t 34 \t (tgc)\n2   tRNA-Gly  [100,170]  34  (tcc)\n3 tRNA-?(Phe|Tyr) c[300,371] 35 (gaa)\n4   tmRNA  c[400,700]  1\n>d\n0 genes found\n>e\n1 gene found\n1   tRNA-Leu   c[9,2]   34  (caa)\n>end \t3 sequences\n")
     blocks = tables.trna_blocks(spark, f"file://{tmp_path}/r")
