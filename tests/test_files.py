@@ -367,6 +367,24 @@ def test_gene_headers(spark):
         tables.gene_headers(lines.selectExpr("'a_1 protein' as value")).collect()
 
 
+def test_gene_annotation_sends_genes_once(spark):
+    """Genes' columns meet the annotated hits in one join; genes without a hit, and hits without a marker or a taxon, keep defaults."""
+    genes = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("b", 2, None)], "contig string, gene_num int, rbs string")
+    hits = spark.createDataFrame([("a", 1, "m1", 0.5, 10, 7), ("a", 2, "m9", 0.1, 20, 1), ("b", 1, "m1", 0.2, 30, None), ("b", 1, None, 0.3, 31, 8)], "contig string, gene_num int, marker_id string, evalue double, bitscore int, taxid int")
+    markers = spark.createDataFrame([("m1", 1, None, 1, "cj")], "marker_id string, uscg int, plasmid_hallmark int, virus_hallmark int, conjscan string")
+    taxa = spark.createDataFrame([(1, "root"), (7, "seven")], "taxid int, name string")
+    out = annotate.gene_annotation(genes, hits, markers, taxa, ["contig", "gene_num"])
+    assert out.columns == ["contig", "gene_num", "rbs", "marker_id", "evalue", "bitscore", "taxid", "uscg", "plasmid_hallmark", "virus_hallmark", "conjscan", "taxname"]
+    assert sorted(map(tuple, out.collect()), key=str) == [
+        ("a", 1, "x", "m1", 0.5, 10, 7, 1, 0, 1, "cj", "seven"), ("a", 2, "y", "m9", 0.1, 20, 1, 0, 0, 0, None, None), ("b", 1, "z", "m1", 0.2, 30, 1, 1, 0, 1, "cj", None),
+        ("b", 1, "z", None, 0.3, 31, 8, 0, 0, 0, None, None), ("b", 2, None, None, None, None, 1, 0, 0, 0, None, None),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, x in enumerate(plan) if "Join " in x]
+    # the genes' own rows are the first branch of the first join, and below no other
+    assert len(joins) == 3 and any("rbs" in x and ("RDD" in x or "Relation" in x) for x in plan[joins[0] + 1 : joins[1]])
+
+
 def test_gene_headers_of_odd_forms(spark):
     """Names and pairs with marks of their own, missing keys, null; no map is made of pairs that aren't read."""
     line = "{} # 5 # 90 # 1 # {}"
